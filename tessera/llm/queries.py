@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import substring
+from tessera.llm import bpe, lines, minhash, substring
 
 _MODULES = {
+    "op1_byte_bpe": bpe,
     "op2_substring_dedup": substring,
+    "op3_minhash_near_dedup": minhash,
+    "op4_line_dedup": lines,
 }
 
 QUERIES = {name: m.query for name, m in _MODULES.items()}
