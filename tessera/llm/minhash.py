@@ -14,6 +14,10 @@ Groups of copies may be huge, and all their pairs are never listed:
   bounded blocks, and confirms each pair that is near enough, once. Pairs inside a component need no look: they are
   connected. So no link between components is lost to the stars.
 
+Before two sets are compared in full, bitmaps of the sets bound their intersection from above: each bit that one has alone
+stands for a shingle that the other lacks. What the bound rules out is no link for certain, so of a group of half-similar
+documents hardly any pair leaves the task that holds their signatures.
+
 Components are found by alternating large and small stars over tables in the shared folder.
 """
 
@@ -95,8 +99,33 @@ def index_keys(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bitmap of a set, with four to eight bits an element; the size is a power of two, so larger ones fold."""
+    size = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes >> np.uint64(7)) & np.uint64(size - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _fold(rows: np.ndarray, width: int) -> np.ndarray:
+    while rows.shape[-1] > width:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] | rows[..., half:]
+    return rows
+
+
+def _may_link(a: np.ndarray, na: int, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the bitmap a of a set of na can be that of a set linked with those in the rows of b, by the bound alone."""
+    width = min(a.shape[-1], b.shape[-1])
+    a, b = _fold(a, width), _fold(b, width)
+    only_a = np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64)
+    only_b = np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64)
+    most = np.minimum(na - only_a, nb - only_b)
+    return 100 * most >= 75 * (na + nb - most)
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash (16 bytes; null without shingles) and symbols of each row."""
+    """doc_id, n_shingles, set_hash (16 bytes; null without shingles), symbols and bits of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in ex.flushes(batches, limit=2 << 20):
@@ -113,9 +142,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                 "n_shingles": pa.array(n.astype(np.int64)),
                 "set_hash": pa.array([s.tobytes() if m else None for s, m in zip(sums, n, strict=True)], pa.binary()),
                 "symbols": pa.array([r.tobytes() if m else None for r, m in zip(rows, n, strict=True)], pa.binary()),
+                "bits": pa.array([bitmap(h[a:b]) if b > a else None for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, symbols binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, symbols binary, bits binary")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -133,20 +163,24 @@ def _keys(reps: DataFrame) -> DataFrame:
 
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes allow the threshold and whose signatures are near enough."""
-    own = reps.select("a", "n_shingles", "symbols")
-    both = pairs.join(own.withColumnsRenamed({"n_shingles": "na", "symbols": "sa"}), "a").join(
-        own.withColumnsRenamed({"a": "b", "n_shingles": "nb", "symbols": "sb"}), "b"
+    own = reps.select("a", "n_shingles", "symbols", "bits")
+    both = pairs.join(own.withColumnsRenamed({"n_shingles": "na", "symbols": "sa", "bits": "ba"}), "a").join(
+        own.withColumnsRenamed({"a": "b", "n_shingles": "nb", "symbols": "sb", "bits": "bb"}), "b"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sa", "sb"))
-                near = pa.array((sa == sb).sum(axis=1) >= LEAST_EQUAL)
-                yield batch.select(["a", "b"]).filter(near)
+                near = (sa == sb).sum(axis=1) >= LEAST_EQUAL
+                na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+                for i in np.flatnonzero(near):
+                    ba, bb = (np.frombuffer(batch.column(c)[int(i)].as_buffer(), np.uint8) for c in ("ba", "bb"))
+                    near[i] = _may_link(ba, na[i], bb, nb[i])
+                yield batch.select(["a", "b"]).filter(pa.array(near))
 
     allowed = 100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")
-    return both.filter(allowed).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.filter(allowed).select("a", "b", "na", "nb", "sa", "sb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
@@ -205,7 +239,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _across(hits: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of near signatures whose ends share a key and are in different components, each once."""
-    own = reps.select("a", "n_shingles", "symbols").join(labels.withColumnRenamed("id", "a"), "a", "left")
+    own = reps.select("a", "n_shingles", "symbols", "bits").join(labels.withColumnRenamed("id", "a"), "a", "left")
     own = own.withColumn("label", F.coalesce("label", "a"))
     named = hits.join(own.select("a", "label"), "a")
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
@@ -214,7 +248,7 @@ def _across(hits: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     rows = rows.withColumn("i", F.pmod(F.xxhash64("a"), "p").cast("int"))
     # a member of block i meets the pairs of blocks (i, j) and (j, i) for all j
     rows = rows.withColumn("j", F.explode(F.expr("sequence(0, p - 1)"))).select(
-        "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("block"), "a", "label", "n_shingles", "symbols"
+        "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("block"), "a", "label", "n_shingles", "symbols", "bits"
     )
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "a")
 
@@ -225,6 +259,8 @@ def _across(hits: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         which = int(np.flatnonzero((keys == key).all(axis=0))[0])
         block = None if lo == hi else table.column("block").to_numpy()
+        bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
+        width = np.array([len(x) for x in bits])
         left, right = [], []
         for i in range(len(a)):
             other = np.arange(i + 1, len(a))
@@ -238,8 +274,11 @@ def _across(hits: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
             if len(other):  # only under the first key that both have
                 hit = keys[other] == keys[i]
                 mine = other[hit.argmax(axis=1) == which]
-                left += [a[i]] * len(mine)
-                right += a[mine].tolist()
+                for w in np.unique(width[mine]):
+                    some = mine[width[mine] == w]
+                    some = some[_may_link(bits[i], n[i], np.stack([bits[j] for j in some]), n[some])]
+                    left += [a[i]] * len(some)
+                    right += a[some].tolist()
         return pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +316,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketches = ex.materialise(sketch(docs), "sketches")
     known = sketches.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL")
     classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("a"))
-    symbols = known.join(classes, "set_hash").filter("doc_id = a").dropDuplicates(["set_hash"]).select("a", "n_shingles", "symbols")
+    symbols = known.join(classes, "set_hash").filter("doc_id = a").dropDuplicates(["set_hash"]).select("a", "n_shingles", "symbols", "bits")
     reps = ex.materialise(symbols, "representatives")
 
     keys = _keys(reps)
