@@ -224,6 +224,25 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str | None = None, lea
     return _with_coder(picked, ranks_path, pattern, leaf, "doc_id long, n_tokens long, ids binary, decoded binary", each)
 
 
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: doc_id, n_tokens, ids (binary), and whether they decode to the text again."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def each(coder: TreeBPE, batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, packed, same = [], [], []
+        for text in batch.column("text").to_pylist():
+            ids = coder.encode(text or "")
+            counts.append(len(ids))
+            packed.append(np.array(ids, "<u4").tobytes())
+            same.append(coder.decode(ids) == (text or "").encode())
+        return pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(packed, pa.binary()), "round_trip": pa.array(same, pa.bool_())})
+
+    return _with_coder(picked, path, None, LEAF, "doc_id long, n_tokens long, ids binary, round_trip boolean", each)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     import public_tokenizers
