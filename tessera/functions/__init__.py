@@ -1 +1 @@
-
+"""Column functions: text cleanup, parsers, similarities."""

@@ -45,7 +45,7 @@ def component_key(component: Column) -> Column:
 
 def indic_components(pairs: DataFrame, least: int = 3, share: float = 0.3) -> DataFrame:
     """(word, target): an Indic address component and the left components that occur with it and are not on the right. pairs: address_a, address_b."""
-    rows = pairs.filter(text.is_indic(F.col("address_b"))).select(F.transform(F.split("address_b", ","), F.trim).alias("cb"), F.transform(F.split(text.ascii_fold("address_a"), ","), component_key).alias("ca"))
+    rows = pairs.filter(text.is_indic(F.col("address_b"))).select(F.transform(F.split("address_b", ","), lambda c: F.trim(c)).alias("cb"), F.transform(F.split(text.ascii_fold("address_a"), ","), component_key).alias("ca"))
     latin = F.transform(F.filter("cb", lambda c: ~text.is_indic(c)), component_key)
     rows = rows.select("cb", F.filter(F.array_distinct(F.array_except("ca", latin)), lambda c: c != "").alias("targets"))
     alone = F.filter("cb", lambda c: text.is_indic(c) & ~F.rlike(c, F.lit("[A-Za-z]")))

@@ -1 +1 @@
-
+"""Whole runs and the catalog of registered queries."""

@@ -1 +1 @@
-
+"""Streams: none of the operators here is defined on unbounded input, so there is nothing in this package."""
