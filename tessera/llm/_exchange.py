@@ -2,8 +2,8 @@
 
 A corpus-wide question about hashes (is this window known elsewhere? how often?) costs one row per hash if it is asked
 row by row. Here documents are dealt into groups of GROUP consecutive ids, and what a group has to say to a bucket of
-the hash space travels as one binary value: sorted distinct hashes, stored byte plane by byte plane so that the shuffle's
-compression sees their order. A hot hash is sent once per group and batch of documents, never once per document.
+the hash space travels as one binary value: differences of sorted distinct hashes, stored byte plane by byte plane so that
+the shuffle's compression sees that their high bytes are alike. A hot hash is sent once per group and batch of documents, never once per document.
 
 Groups follow the order of the ids: whatever a smaller group holds belongs to smaller ids.
 """
@@ -59,9 +59,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    small: the rows are far fewer than the input's, so an eighth of the shuffle partitions write them.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -87,6 +92,15 @@ def unplanes(blob: bytes, kind: type = np.uint64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def sorted_blob(values: np.ndarray) -> bytes:
+    """Sorted distinct hashes as differences, whose high planes are almost all zeros."""
+    return planes(np.diff(values, prepend=np.zeros(1, np.uint64)))
+
+
+def sorted_values(blob: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(blob), dtype=np.uint64)
+
+
 def cuts(sorted_hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets present in sorted hashes, and where each begins, with the end at last."""
     which = ((sorted_hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
@@ -105,9 +119,9 @@ def unpack(blobs: list) -> pa.Table:
     return pa.concat_tables(pa.ipc.open_stream(b).read_all() for b in blobs)
 
 
-def group_of(ids: pa.Array) -> np.ndarray:
-    """Group of each id; a null id counts as the largest."""
-    return ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64) >> GROUP_BITS
+def group_of(ids: pa.Array, bits: int = GROUP_BITS) -> np.ndarray:
+    """Group of each id: 2^bits consecutive ids; a null id counts as the largest."""
+    return ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64) >> bits
 
 
 def by_group(table: pa.Table, groups: np.ndarray) -> Iterator[tuple[int, pa.Table]]:
@@ -152,12 +166,12 @@ def _offsets(col: pa.Array) -> np.ndarray:
 PACKED = "g long, data binary"
 
 
-def packed(docs: DataFrame, columns: list[str]) -> DataFrame:
+def packed(docs: DataFrame, columns: list[str], bits: int = GROUP_BITS) -> DataFrame:
     """(g, data): the documents of a group that met in a task, as one compressed block. columns: doc_id, text first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in flushes(batches):
-            parts = list(by_group(table, group_of(table.column("doc_id").combine_chunks())))
+            parts = list(by_group(table, group_of(table.column("doc_id").combine_chunks(), bits)))
             yield pa.record_batch({"g": pa.array([g for g, _ in parts], pa.int64()), "data": pa.array([pack(t) for _, t in parts], pa.binary())})
 
     return docs.select(*columns).mapInArrow(run, PACKED)
@@ -183,7 +197,7 @@ def addressed(g: int, hashes: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     return pa.record_batch({
         "bucket": pa.array(which.astype(np.int32), pa.int32()),
         "g": pa.array(np.full(len(which), g, np.int64), pa.int64()),
-        "data": pa.array([planes(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+        "data": pa.array([sorted_blob(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
     })
 
 
@@ -192,7 +206,7 @@ def answered(rows: DataFrame, later_only: bool) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("g")
-        blobs = [unplanes(x.as_buffer()) for x in table.column("data")]
+        blobs = [sorted_values(x.as_buffer()) for x in table.column("data")]
         h = np.concatenate(blobs)
         g = np.repeat(table.column("g").to_numpy(), [len(b) for b in blobs])
         order = np.argsort(h, kind="stable")
@@ -208,7 +222,7 @@ def answered(rows: DataFrame, later_only: bool) -> DataFrame:
         h, g = h[order], g[order]
         at = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)] if len(g) else np.zeros(1, np.int64)
         pairs = list(zip(at[:-1], at[1:], strict=True))
-        return pa.table({"g": pa.array([int(g[a]) for a, _ in pairs], pa.int64()), "data": pa.array([planes(np.unique(h[a:b])) for a, b in pairs], pa.binary())})
+        return pa.table({"g": pa.array([int(g[a]) for a, _ in pairs], pa.int64()), "data": pa.array([sorted_blob(np.unique(h[a:b])) for a, b in pairs], pa.binary())})
 
     return rows.select("bucket", "g", "data").groupBy("bucket").applyInArrow(run, PACKED)
 
@@ -220,7 +234,7 @@ def meeting(docs: DataFrame, answers: DataFrame, apply, schema: str) -> DataFram
         kinds = table.column("kind").to_pylist()
         data = table.column("data")
         own = [data[i].as_buffer() for i, k in enumerate(kinds) if k == 0]
-        said = [unplanes(data[i].as_buffer()) for i, k in enumerate(kinds) if k == 1]
+        said = [sorted_values(data[i].as_buffer()) for i, k in enumerate(kinds) if k == 1]
         known = np.unique(np.concatenate(said)) if said else np.zeros(0, np.uint64)
         return apply(table.column("g")[0].as_py(), unpack(own), known)
 

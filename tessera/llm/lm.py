@@ -19,8 +19,10 @@ from tessera.llm._text import Words, mix, utf8
 
 BACKOFF = 0.4
 _PAIR = np.uint64(0x9FB21C651E98DF25)
+#: Larger groups than elsewhere share more n-grams, of which each is sent once.
+GROUP_BITS = 9
 _SENT = "bucket int, g long, data binary, counts binary"
-_ANSWER = "g long, data binary, counts binary"
+_ANSWER = "g long, bucket int, data binary"
 
 
 def _ngrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,25 +34,19 @@ def _ngrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, mix(h[at - 1] * _PAIR + h[at]), at
 
 
-def _lookup(keys: np.ndarray, known: np.ndarray, totals: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
-    """Count of each n-gram over all documents but the one it stands in. known, totals: counts of what other groups hold too."""
-    unique, inverse, local = np.unique(keys, return_inverse=True, return_counts=True)
-    total = local.astype(np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, unique), len(known) - 1)
-        hit = known[at] == unique
-        total[hit] = totals[at[hit]]
-    _, place, own = np.unique(docs * len(unique) + inverse if len(unique) else inverse, return_inverse=True, return_counts=True)
-    return total[inverse] - own[place]
+def _others(keys: np.ndarray, unique: np.ndarray, total: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Count of each n-gram over all documents but the one it stands in. unique, total: the group's n-grams and their corpus counts."""
+    place = np.searchsorted(unique, keys)
+    _, inverse, own = np.unique(docs * len(unique) + place, return_inverse=True, return_counts=True)
+    return total[place] - own[inverse]
 
 
-def counts(docs: DataFrame) -> DataFrame:
+def counts(docs: DataFrame, n_buckets: int) -> DataFrame:
     """(bucket, g, data, counts): each group's distinct words and pairs with their counts, by bucket of the hash."""
-    n_buckets = ex.bucket_count(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in ex.flushes(batches):
-            for g, part in ex.by_group(table, ex.group_of(table.column("doc_id").combine_chunks())):
+            for g, part in ex.by_group(table, ex.group_of(table.column("doc_id").combine_chunks(), GROUP_BITS)):
                 h, pairs, _ = _ngrams(Words(*utf8(part.column("text"))))
                 keys, n = np.unique(np.concatenate([h, pairs]), return_counts=True)
                 which, at = ex.cuts(keys, n_buckets)
@@ -58,34 +54,37 @@ def counts(docs: DataFrame) -> DataFrame:
                 cut = list(zip(at[:-1], at[1:], strict=True))
                 yield pa.record_batch({
                     "bucket": pa.array(which.astype(np.int32)), "g": pa.array(np.full(len(which), g, np.int64)),
-                    "data": pa.array([ex.planes(keys[a:b]) for a, b in cut], pa.binary()), "counts": pa.array([ex.planes(n[a:b]) for a, b in cut], pa.binary()),
+                    "data": pa.array([ex.sorted_blob(keys[a:b]) for a, b in cut], pa.binary()), "counts": pa.array([ex.planes(n[a:b]) for a, b in cut], pa.binary()),
                 })
 
     return docs.select("doc_id", "text").mapInArrow(run, _SENT)
 
 
 def joined(sent: DataFrame) -> DataFrame:
-    """(g, data, counts): to each group the corpus counts of its n-grams, where they are more than its own."""
+    """(g, bucket, data): to each group how often other groups have its n-grams, in the order of the n-grams' hashes.
+
+    The hashes need not come back: a group knows its n-grams, and which bucket has them.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        blobs = [ex.unplanes(x.as_buffer()) for x in table.column("data")]
+        blobs = [ex.sorted_values(x.as_buffer()) for x in table.column("data")]
         n = np.concatenate([ex.unplanes(x.as_buffer(), np.uint32) for x in table.column("counts")]).astype(np.int64)
         h = np.concatenate(blobs)
-        row = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])
+        g = np.repeat(table.column("g").to_numpy(), [len(b) for b in blobs])
+        order = np.lexsort((h, g))  # a group's rows of several tasks come together
+        h, n, g = h[order], n[order], g[order]
+        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+        h, n, g = h[new], np.add.reduceat(n, new), g[new]
         order = np.argsort(h, kind="stable")
-        h, n, row = h[order], n[order], row[order]
-        first = np.r_[True, h[1:] != h[:-1]]
-        total = np.add.reduceat(n, np.flatnonzero(first))[np.cumsum(first) - 1]
-        more = total > n
-        h, total, row = h[more], total[more], row[more]
-        order = np.argsort(row, kind="stable")  # hashes stay sorted inside a row
-        h, total, row = h[order], total[order], row[order]
-        cut = np.searchsorted(row, np.arange(len(blobs) + 1))
-        some = np.flatnonzero(np.diff(cut))
-        g = table.column("g").to_numpy()
+        first = np.r_[True, h[order][1:] != h[order][:-1]]
+        others = np.empty(len(h), np.int64)
+        others[order] = np.add.reduceat(n[order], np.flatnonzero(first))[np.cumsum(first) - 1]
+        others -= n
+        at = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
+        bucket = table.column("bucket")[0].as_py()
         return pa.table({
-            "g": pa.array(g[some]), "data": pa.array([ex.planes(h[cut[i] : cut[i + 1]]) for i in some], pa.binary()),
-            "counts": pa.array([ex.planes(total[cut[i] : cut[i + 1]].astype(np.uint64)) for i in some], pa.binary()),
+            "g": pa.array(g[at[:-1]]), "bucket": pa.array([bucket] * (len(at) - 1), pa.int32()),
+            "data": pa.array([ex.planes(others[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
         })
 
     return sent.groupBy("bucket").applyInArrow(run, _ANSWER)
@@ -102,22 +101,22 @@ def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     """
     ex.configure(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    n_buckets = ex.bucket_count(docs)
 
     def sum_up(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        data, numbers = table.column("data"), table.column("counts")
-        own = [data[i].as_buffer() for i, k in enumerate(kinds) if k == 0]
-        said = [i for i, k in enumerate(kinds) if k == 1]
-        known = np.concatenate([ex.unplanes(data[i].as_buffer()) for i in said]) if said else np.zeros(0, np.uint64)
-        totals = np.concatenate([ex.unplanes(numbers[i].as_buffer()) for i in said]).astype(np.int64) if said else np.zeros(0, np.int64)
-        order = np.argsort(known, kind="stable")
-        known, totals = known[order], totals[order]
-        part = ex.unpack(own)
+        rows = list(zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("data"), strict=True))
+        part = ex.unpack([x.as_buffer() for kind, _, x in rows if kind == 0])
         words = Words(*utf8(part.column("text")))
         h, pairs, at = _ngrams(words)
+        unique, total = np.unique(np.concatenate([h, pairs]), return_counts=True)
+        which, cut = ex.cuts(unique, n_buckets)
+        begin = dict(zip(which.tolist(), cut[:-1].tolist(), strict=True))
+        for kind, bucket, x in rows:
+            if kind == 1:
+                others = ex.unplanes(x.as_buffer(), np.int64)
+                total[begin[bucket] : begin[bucket] + len(others)] += others
         doc = words.doc
-        single = _lookup(h, known, totals, doc, len(part))
-        double = _lookup(pairs, known, totals, doc[at], len(part))
+        single, double = _others(h, unique, total, doc), _others(pairs, unique, total, doc[at])
         terms = np.log(np.maximum(single, 1).astype(float))
         back = np.ones(len(h), bool)
         terms[at] += np.log(backoff)
@@ -128,8 +127,8 @@ def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
         sums = lambda x: np.bincount(doc, x, len(part))
         return pa.table({"doc_id": part.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_backoff": pa.array(sums(back).astype(np.int64)), "logs": pa.array(sums(terms))})
 
-    blocks = ex.packed(docs, ["doc_id", "text"]).select("g", F.lit(0).alias("kind"), "data", F.lit(None).cast("binary").alias("counts"))
-    answers = joined(counts(docs)).select("g", F.lit(1).alias("kind"), "data", "counts")
+    blocks = ex.packed(docs, ["doc_id", "text"], GROUP_BITS).select("g", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("bucket"), "data")
+    answers = joined(counts(docs, n_buckets)).select("g", F.lit(1).alias("kind"), "bucket", "data")
     sums = ex.materialise(blocks.unionByName(answers).groupBy("g").applyInArrow(sum_up, "doc_id long, n_words long, n_backoff long, logs double"), "scores")
     total = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]  # one number
     rest = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
