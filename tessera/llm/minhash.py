@@ -221,7 +221,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large stars (link larger neighbours to the smallest one) and small stars (link smaller neighbours to
     it) until nothing changes; each round is a table in the shared folder. Neighbours are never gathered in a row.
     """
-    edges = ex.materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = ex.materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", small=True)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
@@ -229,7 +229,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        after = ex.materialise(small, "stars")
+        after = ex.materialise(small, "stars", small=True)
         stars = after.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() == 0
         if stars and after.join(after.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() == 0:
             break
@@ -253,48 +253,51 @@ def _across(hits: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "a")
 
     def pairs_of(table: pa.Table) -> pa.RecordBatch:
-        a, label, n = (table.column(c).to_numpy() for c in ("a", "label", "n_shingles"))
+        """Near pairs of whole groups of rows with the same key and blocks."""
+        key, lo, hi, block, a, label, n = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "a", "label", "n_shingles"))
         symbols = np.frombuffer(b"".join(table.column("symbols").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        keys, key = index_keys(symbols).view(np.int64), table.column("key")[0].as_py()
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        which = int(np.flatnonzero((keys == key).all(axis=0))[0])
-        block = None if lo == hi else table.column("block").to_numpy()
-        bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
+        keys = index_keys(symbols).view(np.int64)
+        which = (keys == key[:, None]).argmax(axis=1)
+        bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits").combine_chunks()]
         width = np.array([len(x) for x in bits])
+        begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        ends = np.repeat(np.r_[begins[1:], len(key)], np.diff(np.r_[begins, len(key)]))
         left, right = [], []
-        for i in range(len(a)):
-            other = np.arange(i + 1, len(a))
-            other = other[(label[other] != label[i]) & (100 * np.minimum(n[other], n[i]) >= 75 * np.maximum(n[other], n[i]))]
-            if block is not None:
+        for i in range(len(key)):
+            other = np.arange(i + 1, ends[i])
+            other = other[label[other] != label[i]] if len(other) else other
+            if lo[i] != hi[i]:
                 other = other[block[other] != block[i]]
+            other = other[100 * np.minimum(n[other], n[i]) >= 75 * np.maximum(n[other], n[i])]
             if not len(other):
                 continue
-            same = symbols[other] == symbols[i]
-            other, same = other[near := same.sum(axis=1) >= LEAST_EQUAL], same[near]
-            if len(other):  # only under the first key that both have
-                hit = keys[other] == keys[i]
-                mine = other[hit.argmax(axis=1) == which]
-                for w in np.unique(width[mine]):
-                    some = mine[width[mine] == w]
-                    some = some[_may_link(bits[i], n[i], np.stack([bits[j] for j in some]), n[some])]
-                    left += [a[i]] * len(some)
-                    right += a[some].tolist()
+            other = other[(symbols[other] == symbols[i]).sum(axis=1) >= LEAST_EQUAL]
+            if not len(other):
+                continue
+            other = other[(keys[other] == keys[i]).argmax(axis=1) == which[i]]  # only under the first key that both have
+            for w in np.unique(width[other]):
+                some = other[width[other] == w]
+                some = some[_may_link(bits[i], n[i], np.stack([bits[j] for j in some]), n[some])]
+                left += [a[i]] * len(some)
+                right += a[some].tolist()
         return pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []  # rows of a group that may go on
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            names = list(zip(*(held.column(c).to_pylist() for c in ("key", "lo", "hi")), strict=True))
-            at = 0
-            for i in range(1, len(names)):
-                if names[i] != names[at]:
-                    yield pairs_of(held.slice(at, i - at).combine_chunks())
-                    at = i
-            held = held.slice(at)
-        if held is not None and held.num_rows:
-            yield pairs_of(held.combine_chunks())
+            if not batch.num_rows:
+                continue
+            key, lo, hi = (batch.column(c).to_numpy() for c in ("key", "lo", "hi"))
+            last = np.flatnonzero((key != key[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if held and (cut or any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("key", "lo", "hi"))):
+                yield pairs_of(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+                held = []
+            elif cut:
+                yield pairs_of(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield pairs_of(pa.Table.from_batches(held).combine_chunks())
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -323,14 +326,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     stars = keys.groupBy("key").agg(F.min("a").alias("star"), F.count("*").alias("n")).filter("n > 1").select("key", "star")
     hits = ex.materialise(keys.join(stars, "key"), "hits")
     first = hits.filter("a <> star").select(F.col("star").alias("a"), F.col("a").alias("b")).distinct()
-    first = ex.materialise(_near(first, reps), "stars")
+    first = ex.materialise(_near(first, reps), "stars", small=True)
 
     ids = hits.select("a").distinct()
     texts = ex.materialise(_texts(docs, ids), "texts")
-    links = ex.materialise(confirm(first, texts, percent), "links")
+    links = ex.materialise(confirm(first, texts, percent), "links", small=True)
     labels = components(links)
     second = _across(hits.select("key", "a"), labels, reps).join(first, ["a", "b"], "left_anti")
-    more = ex.materialise(confirm(ex.materialise(second, "across"), texts, percent), "links")
+    more = ex.materialise(confirm(ex.materialise(second, "across"), texts, percent), "links", small=True)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
@@ -347,7 +350,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = list(ex.by_group(pa.Table.from_batches([batch]), ex.group_of(batch.column("a"))))
-            blobs = [ex.planes(t.column("a").to_numpy().astype(np.int64).view(np.uint64)) for _, t in parts]
+            blobs = [ex.sorted_blob(np.sort(t.column("a").to_numpy().astype(np.int64).view(np.uint64))) for _, t in parts]
             yield pa.record_batch({"g": pa.array([g for g, _ in parts], pa.int64()), "data": pa.array(blobs, pa.binary())})
 
     def pick(g: int, table: pa.Table, wanted: np.ndarray) -> pa.Table:
