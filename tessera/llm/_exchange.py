@@ -11,6 +11,7 @@ Groups follow the order of the ids: whatever a smaller group holds belongs to sm
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,9 +68,13 @@ def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     spark = df.sparkSession
     if small:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    path = new_path(spark, name)
+    path, schema = new_path(spark, name), df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    if not small:  # nobody needs the shuffle files behind the table any more; Spark deletes them once the plan is collected
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def bucket_count(df: DataFrame) -> int:

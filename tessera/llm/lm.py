@@ -101,7 +101,7 @@ def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     """
     ex.configure(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n_buckets = ex.bucket_count(docs)
+    n_buckets = 2 * ex.bucket_count(docs)  # a bucket's n-grams are held at once
 
     def sum_up(table: pa.Table) -> pa.Table:
         rows = list(zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("data"), strict=True))
@@ -125,7 +125,7 @@ def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
         terms[to] = np.log(double[seen].astype(float)) - np.log(np.maximum(single[to - 1], 1).astype(float))
         back[to] = False
         sums = lambda x: np.bincount(doc, x, len(part))
-        return pa.table({"doc_id": part.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_backoff": pa.array(sums(back).astype(np.int64)), "logs": pa.array(sums(terms))})
+        return pa.table({"doc_id": part.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_backoff": pa.array(sums(back).astype(np.int64)), "logs": pa.array(sums(terms).astype(float))})
 
     blocks = ex.packed(docs, ["doc_id", "text"], GROUP_BITS).select("g", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("bucket"), "data")
     answers = joined(counts(docs, n_buckets)).select("g", F.lit(1).alias("kind"), "bucket", "data")

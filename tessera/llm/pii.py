@@ -2,7 +2,7 @@
 
 Fixed patterns give the base spans (email, ip, card, phone). Further candidates, keys and passwords (`secret`) and phone
 numbers without a country code, are judged by labelers that vote yes, no or nothing: a shape regex, a gazetteer of key
-names, the context before the span, and the variety of its characters. Expectation-maximisation over the counts of all
+names, the context before the span, and the variety of its characters (which can only speak against it). Expectation-maximisation over the counts of all
 vote patterns estimates each labeler's reliability without labels; the posteriors train a logistic span classifier, which
 decides. Candidates are gathered from whole texts and all documents. Only counts of patterns reach the driver, and the
 number of patterns is bounded by the votes and features (fewer than MAX_PATTERNS).
@@ -112,15 +112,15 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         quoted = before[-1:] in "\"'" and after[:1] in "\"'" and bool(before[-1:]) and bool(after[:1])
         if kind == "secret":
             shape = 1 if letters and len(span) >= 20 and len(span) > letters else -1
-            known = 1 if near and near[-1] in KEY_NAMES else 0
+            known = 1 if near and near[-1] in KEY_NAMES else 0 if assigned or quoted else -1
             context = 1 if assigned and quoted else -1 if not assigned and not quoted else 0
-            variety = 1 if _variety(span) >= 3.0 and letters else -1
+            variety = 0 if _variety(span) >= 3.0 and letters else -1
         else:
             shape = 1 if span.startswith("(") or span.count("-") == 2 else 0
             known = 1 if near and near[-1] in PHONE_WORDS else 0
             context = 1 if any(w in PHONE_WORDS for w in near) else -1
-            variety = 1 if len(set(_NOT_DIGIT.sub("", span))) >= 4 else -1
-        bits = (len(span) >= 24, letters > 0, quoted, assigned, bool(known))
+            variety = 0 if len(set(_NOT_DIGIT.sub("", span))) >= 4 else -1
+        bits = (len(span) >= 24, letters > 0, quoted, assigned, known > 0)
         out.append((kind, a, b, f"{kind}|{shape},{known},{context},{variety}|{''.join(str(int(x)) for x in bits)}"))
         taken.append((a, b))
     return out
@@ -143,7 +143,7 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
         prior_on = np.array([2.0, 6.0, 8.0])  # of no, nothing, yes, if it is personal data; reversed if it is not
         post = 1 / (1 + np.exp(-(votes.sum(axis=1) - 0.5)))
         for _ in range(rounds):
-            share = (n @ post + 1) / (n.sum() + 2)
+            share = (n @ post + 8) / (n.sum() + 16)
             on, off = (np.stack([[prior[v + 1] + (n * w)[votes[:, j] == v].sum() for v in (-1, 0, 1)] for j in range(votes.shape[1])])
                        for prior, w in ((prior_on, post), (prior_on[::-1], 1 - post)))
             on, off = on / on.sum(axis=1, keepdims=True), off / off.sum(axis=1, keepdims=True)

@@ -68,7 +68,7 @@ def test_run_against_brute_force(spark):
         before = 0
         order = sorted((i for i in texts if leaf[i] == path), key=lambda i: hashlib.md5(f"11:1:{i}".encode()).hexdigest())
         for i in order:
-            if before < budgets[path] - 1e-6 and capacity[path]:
+            if capacity[path] and (before < budgets[path] - 1e-6 or budgets[path] > capacity[path] - 1e-6):
                 chosen.add(i)
             before += tokens[i]
     import numpy as np
