@@ -310,3 +310,36 @@ def test_files(spark, tmp_path):
     assert store.exists("t") and not store.exists("u") and store.load("t").count() == 2
     with pytest.raises(FileNotFoundError):
         store.load("u")
+
+
+# ---------------------------------------------------------------- settings, refits
+
+
+def test_settings():
+    from tessera.plans import settings
+
+    got = settings.load("recall", {"seed": "7", "lam_grid": "[1.5]", "text_off": "ms"})
+    assert (got["k1"], got["seed"], got["lam_grid"], got["text_off"]) == (150, 7, [1.5], "ms") and settings.profile_for(8, 64) == "recall"
+    with pytest.raises(KeyError):
+        settings.load("default", {"bogus": "1"})
+    assert settings.guard(got, 0, 10, lambda: 399 * 60) and not settings.guard(got, 0, 10, lambda: 401 * 60)
+
+
+def test_refits(spark):
+    from tessera.operators import selftrain
+    from tessera.plans import settings
+
+    rnd = random.Random(4)
+    data = [(a, 1000 * a + k, float(k == 0) + rnd.random() / 2, int(k == 0), 0.99 if k == 0 else 0.01, k == 0) for a in range(30) for k in range(3)]
+    df = spark.createDataFrame(data, "a long, b long, f double, y int, q double, sel boolean")
+    again = selftrain.refit(df.select("f", "y"), df.drop("y"), ["f"], settings.DEFAULTS, rounds=2, depth=2).collect()
+    assert len(again) == 90 and sum((r["p"] > 0.5) == r["sel"] for r in again) > 80
+    left = spark.range(32).select(F.col("id").alias("a"), (F.col("id") == 31).alias("hold"))
+    features = df.groupBy("a").agg(F.max("q").alias("q1"), F.count("*").alias("n_cand"))
+    p, _ = selftrain.has_match(features, df.filter("y = 1").select("a", "b"), left, ["q1", "n_cand"], folds=2, rounds=2, depth=2)
+    got = {r["a"]: r["p_has"] for r in p.collect()}
+    assert len(got) == 32 and got[31] == -1.0 and got[0] > 0.5
+    chosen = df.filter("sel")
+    assert not selftrain.drifted(chosen, chosen, left) and selftrain.drifted(chosen, chosen.limit(5), left)
+    best, top = selftrain.tune_group(df.select("a", "b", "q"), left.select("a"), df.filter("y = 1").select("a", "b"), settings.DEFAULTS | {"delta_grid": [0.0], "lam_grid": [0.8], "min_p_grid": []})
+    assert best["excl"] in ("hard:0.0", "soft") and top == pytest.approx(1.0)
