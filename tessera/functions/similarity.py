@@ -132,12 +132,16 @@ def shared(a: Column, b: Column) -> Column:
 
 def set_stats(a: Column, b: Column) -> Column:
     """struct of shared, ss, sa, sb, most of two arrays of struct(token, idf): counts, sums of squared weights of the shared
-    tokens and of either side, the largest shared weight (0 if none)."""
-    square = lambda x: total(F.transform(x, lambda t: t["idf"] * t["idf"]))
-    both = F.array_intersect(a, b)
-    return let(both, lambda s: F.struct(
-        F.size(s).alias("shared"), square(s).alias("ss"), square(a).alias("sa"), square(b).alias("sb"),
-        F.coalesce(F.array_max(F.transform(s, lambda t: t["idf"])), F.lit(0.0)).alias("most"),
+    tokens and of either side, the largest shared weight (0 if none). A token must have one idf.
+
+    Tokens are intersected as strings that carry their idf: strings are hashed, structs would be compared pair by pair.
+    """
+    text = lambda x: F.transform(x, lambda t: F.concat(t["idf"].cast("string"), F.lit(" "), t["token"]))
+    weights = F.transform(F.array_intersect(text(a), text(b)), lambda s: F.substring_index(s, " ", 1).cast("double"))
+    square = lambda x: total(F.transform(x, lambda w: w * w))
+    own = lambda x: square(F.transform(x, lambda t: t["idf"]))
+    return let(weights, lambda w: F.struct(
+        F.size(w).alias("shared"), square(w).alias("ss"), own(a).alias("sa"), own(b).alias("sb"), F.coalesce(F.array_max(w), F.lit(0.0)).alias("most"),
     ))
 
 

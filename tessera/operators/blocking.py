@@ -52,10 +52,11 @@ def features(records: DataFrame) -> DataFrame:
         kept = F.filter(every, lambda x: (x["j"] > x["i"]) | (F.size(ws) == 1))
         return F.when(F.size(ws) > 0, F.transform(kept, lambda x: x["s"])).otherwise(F.array().cast("array<string>"))
 
-    rows = records.select("id", "src", "pool", F.explode(F.array_distinct(F.concat(
-        typed("ntok", F.col("nt")), typed("tri", trigrams(F.col("concat"))), typed("atok", F.col("at")), typed("num", F.col("nu")),
-        typed("numx", crossed("at", 10)), typed("nnum", crossed("nt", 6)), typed("span", spans(words)),
-    ))).alias("f"))
+    # tokens and numbers are sets already; strings are made distinct by hashing, structs would be compared pair by pair
+    rows = records.select("id", "src", "pool", F.explode(F.concat(
+        typed("ntok", F.col("nt")), typed("tri", F.array_distinct(trigrams(F.col("concat")))), typed("atok", F.col("at")), typed("num", F.col("nu")),
+        typed("numx", crossed("at", 10)), typed("nnum", crossed("nt", 6)), typed("span", F.array_distinct(spans(words))),
+    )).alias("f"))
     return rows.select("id", "src", "pool", "f.type", "f.feature")
 
 
