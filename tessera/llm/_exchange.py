@@ -13,6 +13,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -71,9 +72,10 @@ def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     path, schema = new_path(spark, name), df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
-    if not small:  # nobody needs the shuffle files behind the table any more; Spark deletes them once the plan is collected
-        gc.collect()
+    for _ in range(0 if small else 2):  # nobody needs the shuffle files behind the table any more; Spark deletes them once the plan is
+        gc.collect()  # collected, and its listeners let go of it a moment later
         spark._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -115,7 +117,7 @@ def cuts(sorted_hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndar
 
 def pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 

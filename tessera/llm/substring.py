@@ -6,12 +6,14 @@ both. Only anchors (3 of 7 positions) are exchanged over the whole corpus; windo
 exchanged just where an anchor is known elsewhere, which is the extension of the match.
 
 Steps: (1) every group of documents sends its distinct anchors to buckets of the hash space and learns which of them
-other groups hold; (2) documents meet these answers, documents without a shared anchor are finished, the others send the
-windows around their shared anchors; (3) a group learns which windows a smaller group holds, and removes covered words.
+other groups hold; (2) documents meet these answers, documents without a shared anchor are finished, the others are kept
+with a mark on each window around a shared anchor; (3) marked windows are sent likewise, a group learns which of them a
+smaller group holds, and removes covered words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -25,7 +27,7 @@ from tessera.llm._text import Words, mix, spans, utf8, windows
 #: A smallest difference cover and its period.
 PERIOD, COVER = 7, (0, 1, 3)
 
-_FOUND = "kind int, g long, bucket int, data binary, doc_id long, n_words long, n_removed long, kept string"
+_FOUND = "kind int, g long, data binary, doc_id long, n_words long, n_removed long, kept string"
 _RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -82,19 +84,26 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
             start, own = start[start >= 0], doc[shared[start >= 0]]
             near[start[doc[start] == own]] = True
         near &= words.left() >= width
-        full = windows(hashes, width)
-        begins = np.flatnonzero(near)
         open_docs = np.zeros(len(ids), bool)
-        open_docs[doc[begins]] = True
+        open_docs[doc[near]] = True
         done = np.flatnonzero(~open_docs)
         text = table.column("text")
         rows = [_rows(0, g, doc_id=table.column("doc_id").take(pa.array(done)), n_words=words.counts[done], n_removed=np.zeros(len(done), np.int64), kept=[_kept(_bytes(text, i), None) for i in done])]
-        if len(begins):
-            rows.append(_rows(1, g, data=[ex.pack(table.take(pa.array(np.flatnonzero(open_docs))))]))
-            out = ex.addressed(g, np.unique(full[begins]), n_buckets)
-            rows.append(_rows(2, g, bucket=out.column("bucket"), data=out.column("data")))
+        still = np.flatnonzero(open_docs)
+        if len(still):
+            marks = pa.array([np.packbits(near[words.off[i] : words.off[i + 1]]).tobytes() for i in still], pa.binary())
+            rows.append(_rows(1, g, data=[ex.pack(table.take(pa.array(still)).append_column("marks", marks))]))
         return pa.concat_tables(rows)
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, blob in zip(batch.column("g").to_pylist(), batch.column("data"), strict=True):
+                table = ex.unpack([blob.as_buffer()])
+                words = Words(*utf8(table.column("text")))
+                marks = [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table.column("marks").to_pylist(), words.counts, strict=True)]
+                marked = np.flatnonzero(np.concatenate(marks))
+                yield ex.addressed(g, np.unique(windows(words.hashes(), width)[marked]), n_buckets)
+
     def remove(g: int, table: pa.Table, known: np.ndarray) -> pa.Table:
         ids = table.column("doc_id").fill_null(ex.NO_ID).to_numpy()
         words = Words(*utf8(table.column("text")))
@@ -117,8 +126,9 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
 
     anchors = ex.answered(ex.sent(docs, anchors_of, n_buckets), later_only=False)
     found = ex.materialise(ex.meeting(ex.packed(docs, ["doc_id", "text"]), anchors, extend, _FOUND), "substrings")
-    answers = ex.answered(found.filter("kind = 2"), later_only=True)
-    changed = ex.meeting(found.filter("kind = 1"), answers, remove, _RESULT)
+    pending = found.filter("kind = 1").select("g", "data")
+    answers = ex.answered(pending.mapInArrow(send, ex.SENT), later_only=True)
+    changed = ex.meeting(pending, answers, remove, _RESULT)
     return found.filter("kind = 0").select("doc_id", "n_words", "n_removed", "kept").unionByName(changed)
 
 
@@ -128,7 +138,7 @@ def _bytes(text: pa.ChunkedArray, i: int) -> bytes:
 
 
 def _rows(kind: int, g: int, **given) -> pa.Table:
-    types = {"bucket": pa.int32(), "data": pa.binary(), "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
+    types = {"data": pa.binary(), "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
     n = len(next(iter(given.values())))
     cols = {"kind": pa.array([kind] * n, pa.int32()), "g": pa.array([g] * n, pa.int64())}
     for name, type_ in types.items():
