@@ -40,6 +40,8 @@ SYMBOLS = CHUNKS * WIDTH
 LEAST_EQUAL = 20
 #: Members of a star, and of a block of round 2, that one task holds together.
 STAR_PART, BLOCK = 256, 1024
+#: A class of copies is hot from this fraction of all rows on.
+HOT = 1000
 
 _RNG = np.random.default_rng(7_500_000)
 _FLIP = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -318,9 +320,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketches = ex.materialise(sketch(docs), "sketches")
     known = sketches.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("a"))
-    symbols = known.join(classes, "set_hash").filter("doc_id = a").dropDuplicates(["set_hash"]).select("a", "n_shingles", "symbols", "bits")
-    reps = ex.materialise(symbols, "representatives")
+    # one row a class by aggregation alone: copies are merged before they are dealt out
+    one = F.struct("n_shingles", "symbols", "bits")
+    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("a"), F.count("*").alias("copies"), F.min_by(one, "doc_id").alias("x"))
+    classes = ex.materialise(classes.select("set_hash", "a", "copies", "x.*"), "classes")
+    reps = classes.select("a", "n_shingles", "symbols", "bits")
 
     keys = _keys(reps)
     stars = keys.groupBy("key").agg(F.min("a").alias("star"), F.count("*").alias("n")).filter("n > 1").select("key", "star")
@@ -337,9 +341,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
-    label = classes.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").select("set_hash", F.coalesce("label", "a").alias("label"))
-    # The classes of copies can be huge, and the label's side has one row a class.
-    out = sketches.select("doc_id", "n_shingles", "set_hash").join(label, "set_hash", "left")
+    label = classes.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").select("set_hash", "copies", F.coalesce("label", "a").alias("label"))
+    rows = sketches.select("doc_id", "n_shingles", "set_hash")
+    # A class with a thousandth of all rows or more is hot; there are a thousand of them at most, so they are broadcast.
+    least = max(1, -(-sketches.count() // HOT))
+    hot = label.filter(F.col("copies") >= least).select("set_hash", F.col("label").alias("hot"))
+    marked = rows.join(F.broadcast(hot), "set_hash", "left")
+    rest = marked.filter("hot IS NULL AND set_hash IS NOT NULL").drop("hot").join(label.filter(F.col("copies") < least).drop("copies"), "set_hash", "left")
+    out = rest.unionByName(marked.filter("hot IS NOT NULL OR set_hash IS NULL").withColumnRenamed("hot", "label"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
