@@ -385,14 +385,14 @@ def fs_mu_table(spark, d):
 
 @query(D.sql(*D.FULL, _COMPARED, select="SELECT a, b, round(sum(ln(m / u)), 6) AS fs_llr FROM lv JOIN mu ON mu.comparison = lv.comparison AND mu.level = lv.level GROUP BY a, b"))
 def fs_llr(spark, d):
-    rows = _compared(spark, d)
+    rows = linkage.store(spark).save("compared", _compared(spark, d))  # read for the table and for the weights
     return fellegi.fs_llr(rows, fellegi.supervised(rows)).select("a", "b", F.round("fs_llr", 6).alias("fs_llr"))
 
 
 @query()
 def fs_em(spark, d):
     """Weights of the fit without labels, where its guard accepts it."""
-    rows = _compared(spark, d)
+    rows = linkage.store(spark).save("compared", _compared(spark, d))
     return fellegi.fs_llr(rows, fellegi.unsupervised(rows, fellegi.supervised(rows))).select("a", "b", "fs_llr")
 
 

@@ -44,7 +44,8 @@ def encoded(spark, sf_dir: str) -> DataFrame:
     return records.encode(raw_pages(spark, sf_dir).drop("host"))
 
 
-def _store(spark) -> Artifacts:
+def store(spark) -> Artifacts:
+    """A new folder for the tables of a run, in the folder that the cluster shares."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -58,41 +59,41 @@ def _store(spark) -> Artifacts:
 
 def features(spark, sf_dir: str) -> DataFrame:
     """All columns of each candidate but fs_llr."""
-    store = _store(spark)
-    rec = store.save("records", encoded(spark, sf_dir))
-    return pairs.full_features(store.save("candidates", blocking.candidates(rec, HOW)), rec)
+    keep = store(spark)
+    rec = keep.save("records", encoded(spark, sf_dir))
+    return pairs.full_features(keep.save("candidates", blocking.candidates(rec, HOW)), rec)
 
 
 def run(spark, sf_dir: str, folds: int = 2, rounds: int = 3, depth: int = 3, k2: int = 6, hold: float = 0.1) -> DataFrame:
     """source1_entity_id and matched_entity_ids of every left record."""
-    store = _store(spark)
+    keep = store(spark)
     raw = raw_pages(spark, sf_dir)
-    rec = store.save("records", records.encode(raw.drop("host")))
+    rec = keep.save("records", records.encode(raw.drop("host")))
     left = models.holdout(rec.filter("src = 1").select(F.col("id").alias("a"), "country"), hold, 77)
     truth = known(raw).withColumn("y", F.lit(1))
-    cands = store.save("candidates", blocking.candidates(rec, HOW))
+    cands = keep.save("candidates", blocking.candidates(rec, HOW))
 
     cheap = pairs.cheap_features(cands, rec).join(truth, ["a", "b"], "left").na.fill(0, ["y"]).join(left, "a")
-    cheap = store.save("cheap", cheap.select("a", "b", "y", "hold", *(c.alias(n) for n, c in models.rerank_design().items())))
+    cheap = keep.save("cheap", cheap.select("a", "b", "y", "hold", *(c.alias(n) for n, c in models.rerank_design().items())))
     ranker = models.LogisticModel.fit(cheap.filter("NOT hold"), models.DESIGN, "y", iterations=8)
     kept = models.rerank_keep(cheap.withColumn("p", ranker.probability()), "p", k2).select("a", "b", "p")
-    kept = store.save("kept", cands.join(kept.withColumnRenamed("p", "rr_p"), ["a", "b"]))
+    kept = keep.save("kept", cands.join(kept.withColumnRenamed("p", "rr_p"), ["a", "b"]))
 
     full = pairs.full_features(kept.drop("rr_p"), rec).join(truth, ["a", "b"], "left").na.fill(0, ["y"]).join(left, "a")
     weights = fellegi.supervised(full.filter("NOT hold"))  # held-out records stay out of this fit too
-    full = store.save("features", fellegi.fs_llr(full, weights))
+    full = keep.save("features", fellegi.fs_llr(full, weights))
     params = {"rounds": rounds, "depth": depth}
     first, _ = models.cv_scores(full, pairs.COLUMNS, "p1", folds, **params)
-    first = store.save("first", first)
+    first = keep.save("first", first)
     more = groups.next_stage(first, rec, "p1", 1)
     columns = [*pairs.COLUMNS, *(c for c in more.columns if c not in first.columns), "p1"]
-    second, _ = models.cv_scores(store.save("second_input", more), columns, "p2", folds, **params)
-    second = store.save("second", second.select("a", "b", "y", "hold", "country", "p1", "p2"))
+    second, _ = models.cv_scores(keep.save("second_input", more), columns, "p2", folds, **params)
+    second = keep.save("second", second.select("a", "b", "y", "hold", "country", "p1", "p2"))
 
     seen = second.filter("NOT hold")
     weights2 = models.blend_weights(seen, ["p2", "p1"])
     blended = models.blended(second.withColumn("_all", F.lit("*")), ["p2", "p1"], {"*": weights2}, "pf", "_all").drop("_all")
     knots = calibration.fit_isotonic(blended.filter("NOT hold"), "pf", "y", bins=40)
-    scored = store.save("scored", blended.withColumn("q", calibration.apply_isotonic(F.col("pf"), knots)))
+    scored = keep.save("scored", blended.withColumn("q", calibration.apply_isotonic(F.col("pf"), knots)))
     chosen = decisions.decide(scored, {"excl": "soft", "min_p": 0.001}).filter("sel")
     return joined_lists(left, chosen, "qe", "matched_entity_ids")
