@@ -144,14 +144,14 @@ own AS (SELECT id, u.token, w FROM (SELECT id, pool, unnest(nt) AS token FROM re
 mass AS (SELECT id, sum(w * w) AS s FROM own GROUP BY id),
 both_have AS (SELECT a, b, sum(x.w * x.w) AS ss, max(x.w) AS most, count(*) AS n FROM cands JOIN own x ON x.id = a JOIN own z ON z.id = b AND z.token = x.token GROUP BY a, b)""",
     select="""SELECT c.a, c.b, coalesce(n, 0) AS shared, round(CASE WHEN x.s > 0 AND z.s > 0 THEN coalesce(ss, 0) / sqrt(x.s * z.s) ELSE 0 END, 8) AS cosine,
-  CASE WHEN x.s > 0 THEN round((x.s - coalesce(ss, 0)) / x.s, 8) END AS unmatched_a, round(coalesce(most, 0), 8) AS most
+  CASE WHEN x.s > 0 THEN round((x.s - coalesce(ss, 0)) / x.s, 8) + 0.0 END AS unmatched_a, round(coalesce(most, 0), 8) AS most
 FROM cands c LEFT JOIN both_have t ON t.a = c.a AND t.b = c.b LEFT JOIN mass x ON x.id = c.a LEFT JOIN mass z ON z.id = c.b"""))
 def idf_cosine(spark, d):
     rows = rec.with_idf(D.records(spark, d), "nt", "x")
     left, right = rows.select(F.col("id").alias("a"), F.col("x").alias("xa")), rows.select(F.col("id").alias("b"), F.col("x").alias("xb"))
     both = D.cands(spark, d).select("a", "b").join(left, "a").join(right, "b").withColumn("s", sim.set_stats(F.col("xa"), F.col("xb")))
     s = F.col("s")
-    return both.select("a", "b", s["shared"].cast("long").alias("shared"), F.round(sim.cosine(s["ss"], s["sa"], s["sb"]), 8).alias("cosine"), F.round(sim.unmatched(s["ss"], s["sa"]), 8).alias("unmatched_a"), F.round(s["most"], 8).alias("most"))
+    return both.select("a", "b", s["shared"].cast("long").alias("shared"), F.round(sim.cosine(s["ss"], s["sa"], s["sb"]), 8).alias("cosine"), (F.round(sim.unmatched(s["ss"], s["sa"]), 8) + 0.0).alias("unmatched_a"), F.round(s["most"], 8).alias("most"))
 
 
 @query(D.sql(*D.FULL, """
@@ -477,11 +477,11 @@ def selected_lists(spark, d):
 
 @query(D.sql(*D.FULL, _Q, """
 hm AS (SELECT a, y, q, row_number() OVER (PARTITION BY a ORDER BY q DESC, b) AS r, q / sum(q) OVER (PARTITION BY a) AS share FROM q)""",
-    select="SELECT a, max(CASE WHEN r = 1 THEN q END) AS q1, coalesce(max(CASE WHEN r = 2 THEN q END), 0) AS q2, coalesce(max(CASE WHEN r = 3 THEN q END), 0) AS q3, round(sum(q), 8) AS q_sum, count(*) FILTER (q > 0.5) AS n_q05, count(*) FILTER (q > 0.1) AS n_q01, count(*) AS n_cand, round(-sum(share * ln(share)), 8) AS q_entropy FROM hm GROUP BY a"))
+    select="SELECT a, max(CASE WHEN r = 1 THEN q END) AS q1, coalesce(max(CASE WHEN r = 2 THEN q END), 0) AS q2, coalesce(max(CASE WHEN r = 3 THEN q END), 0) AS q3, round(sum(q), 8) AS q_sum, count(*) FILTER (q > 0.5) AS n_q05, count(*) FILTER (q > 0.1) AS n_q01, count(*) AS n_cand, round(-sum(share * ln(share)), 8) + 0.0 AS q_entropy FROM hm GROUP BY a"))
 def has_match_features(spark, d):
     rows = _q(spark, d).withColumns({c: F.lit(0.0) for c in ("jw_sorted", "atok_cos", "num_shared", "name_freq_a", "ntok_a")})
     out = decisions.has_match_features(rows, D.records(spark, d))
-    return out.select("a", "q1", "q2", "q3", F.round("q_sum", 8).alias("q_sum"), "n_q05", "n_q01", "n_cand", F.round("q_entropy", 8).alias("q_entropy"))
+    return out.select("a", "q1", "q2", "q3", F.round("q_sum", 8).alias("q_sum"), "n_q05", "n_q01", "n_cand", (F.round("q_entropy", 8) + 0.0).alias("q_entropy"))
 
 
 @query(D.sql(*D.FULL, _Q, """
