@@ -10,6 +10,7 @@ network is one row of sums per language and task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,10 @@ COMMON = {
 }
 _CODES = "abcdefghijklmnopqrst"
 WINDOW = 5
+#: Fixed values of the tighter limit on word_distance. The slack is what sampling alone gives: for n words in k cells, 8 ln(2) n
+#: times the divergence has a mean of k - 1, so the distance is near sqrt((k - 1) / (8 ln(2) n)), and k is 21. The base is fit_base of sf0.1.
+FITTED_WORD_SLACK = 1.9
+FITTED_WORD_DISTANCE = 0.1
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -166,6 +171,16 @@ def judge(
     )
 
 
+def fit_base(judged: DataFrame, labels: DataFrame, sample: int = 5000, min_words: int = 50) -> float:
+    """How far clean text goes beyond FITTED_WORD_SLACK / sqrt(n_words), rounded up to hundredths: the largest excess of word_distance
+    among the sample documents of quality 1 that have min_words words and the smallest md5 of doc_id. 0 if there are none."""
+    clean = labels.filter("quality = 1").select("doc_id").distinct()
+    rows = judged.filter((F.col("n_words") >= min_words) & ~F.col("base_failed")).join(clean, "doc_id")
+    rows = rows.select(F.md5(F.col("doc_id").cast("string")).alias("_order"), (F.col("word_distance") - FITTED_WORD_SLACK / F.sqrt("n_words")).alias("excess"))
+    most = rows.orderBy("_order").limit(sample).agg(F.max("excess")).first()[0]  # one number
+    return math.ceil(100 * max(most or 0.0, 0.0)) / 100
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep."""
     return judge(docs).filter("kept").select(*(f"`{c}`" for c in docs.columns))
@@ -176,6 +191,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
 
 
+def fitted(spark, sf_dir: str) -> DataFrame:
+    """query() under the tighter limit on word_distance."""
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], max_word_distance=FITTED_WORD_DISTANCE, word_slack=FITTED_WORD_SLACK)
+
+
 def _sql() -> str:
     common = " ".join(f"WHEN lang = '{n}' THEN [{', '.join(repr(w) for w in ws)}]" for n, ws in COMMON.items())
     quoted = lambda p: p.replace("'", "''")
@@ -224,3 +244,4 @@ FROM far
 
 
 SQL = _sql()
+FITTED_SQL = SQL.replace("word_distance > 0.18 + 2 / sqrt(n_words)", f"word_distance > {FITTED_WORD_DISTANCE} + {FITTED_WORD_SLACK} / sqrt(n_words)")
