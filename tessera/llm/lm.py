@@ -1,8 +1,8 @@
 """Language-model scores by stupid backoff.
 
-Counts of words and word pairs over the whole corpus are a table partitioned by hash. Each group of documents joins its
+Counts of words and of n-grams up to an order (2: word pairs) over the whole corpus are a table partitioned by hash. Each group of documents joins its
 distinct n-grams with it, in packed blocks (see _exchange), and sums the logarithms per document. A document is scored by
-the counts of all others: its own occurrences are taken off, so a pair that it alone has backs off to the word.
+the counts of all others: its own occurrences are taken off, so an n-gram that it alone has backs off to a shorter one.
 """
 
 from __future__ import annotations
@@ -25,13 +25,18 @@ _SENT = "bucket int, g long, data binary, counts binary"
 _ANSWER = "g long, bucket int, data binary"
 
 
-def _ngrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words; hashes of the pairs, by second word; numbers of the words that have one before them."""
+def _ngrams(words: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length from 1 to order: hashes of the n-grams, by last word, and the numbers of these last words."""
     h = words.hashes()
-    second = np.ones(len(h), bool)
-    second[words.off[:-1][words.counts > 0]] = False
-    at = np.flatnonzero(second)
-    return h, mix(h[at - 1] * _PAIR + h[at]), at
+    place = np.arange(len(h)) - np.repeat(words.off[:-1], words.counts)
+    out, last = [(h, np.arange(len(h)))], h
+    for k in range(1, order):
+        at = np.flatnonzero(place >= k)
+        whole = np.zeros(len(h), np.uint64)
+        whole[at] = mix(last[at - 1] * (_PAIR + np.uint64(2 * (k - 1))) + h[at])
+        out.append((whole[at], at))
+        last = whole
+    return out
 
 
 def _others(keys: np.ndarray, unique: np.ndarray, total: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -41,14 +46,14 @@ def _others(keys: np.ndarray, unique: np.ndarray, total: np.ndarray, docs: np.nd
     return total[place] - own[inverse]
 
 
-def counts(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, g, data, counts): each group's distinct words and pairs with their counts, by bucket of the hash."""
+def counts(docs: DataFrame, n_buckets: int, order: int = 2) -> DataFrame:
+    """(bucket, g, data, counts): each group's distinct n-grams with their counts, by bucket of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in ex.flushes(batches):
             for g, part in ex.by_group(table, ex.group_of(table.column("doc_id").combine_chunks(), GROUP_BITS)):
-                h, pairs, _ = _ngrams(Words(*utf8(part.column("text"))))
-                keys, n = np.unique(np.concatenate([h, pairs]), return_counts=True)
+                grams = _ngrams(Words(*utf8(part.column("text"))), order)
+                keys, n = np.unique(np.concatenate([h for h, _ in grams]), return_counts=True)
                 which, at = ex.cuts(keys, n_buckets)
                 n = n.astype(np.uint32)
                 cut = list(zip(at[:-1], at[1:], strict=True))
@@ -90,25 +95,26 @@ def joined(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, _ANSWER)
 
 
-def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
+def score(docs: DataFrame, backoff: float = BACKOFF, order: int = 2) -> DataFrame:
     """doc_id, n_words, n_backoff and log_score of each row of docs (doc_id long, text string, others ignored).
 
-    log_score sums over the words: log(count(pair) / count(word before)) if another document has the pair; else
-    log(backoff * count(word) / words of all other documents), without the factor for a first word. A word that no other
-    document has counts as one, and an empty rest of the corpus as one word. n_backoff counts the words that were not
-    scored by a pair. A null, empty or blank text has no words and a score of 0. Rows that repeat a doc_id are documents
+    log_score sums over the words the logarithm of count(n-gram) / count(n-gram without its last word), for the longest n-gram
+    of at most order words that ends there and that another document has; at a single word of count(word) / words of all
+    other documents. Each word by which it is shorter than order, and than the text up to there, gives a factor of backoff. A
+    word that no other document has counts as one, and an empty rest of the corpus as one word. n_backoff counts the words
+    that were not scored by an n-gram of order words. A null, empty or blank text has no words and a score of 0. Rows that repeat a doc_id are documents
     of their own; null ids too. An empty table gives an empty result. N-grams are told apart by 64-bit hashes.
     """
     ex.configure(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n_buckets = 2 * ex.bucket_count(docs)  # a bucket's n-grams are held at once
+    n_buckets = order * ex.bucket_count(docs)  # a bucket's n-grams are held at once
 
     def sum_up(table: pa.Table) -> pa.Table:
         rows = list(zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("data"), strict=True))
         part = ex.unpack([x.as_buffer() for kind, _, x in rows if kind == 0])
         words = Words(*utf8(part.column("text")))
-        h, pairs, at = _ngrams(words)
-        unique, total = np.unique(np.concatenate([h, pairs]), return_counts=True)
+        grams = _ngrams(words, order)
+        unique, total = np.unique(np.concatenate([h for h, _ in grams]), return_counts=True)
         which, cut = ex.cuts(unique, n_buckets)
         begin = dict(zip(which.tolist(), cut[:-1].tolist(), strict=True))
         for kind, bucket, x in rows:
@@ -116,23 +122,28 @@ def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
                 others = ex.unplanes(x.as_buffer(), np.int64)
                 total[begin[bucket] : begin[bucket] + len(others)] += others
         doc = words.doc
-        single, double = _others(h, unique, total, doc), _others(pairs, unique, total, doc[at])
-        terms = np.log(np.maximum(single, 1).astype(float))
-        back = np.ones(len(h), bool)
-        terms[at] += np.log(backoff)
-        seen = double > 0
-        to = at[seen]
-        terms[to] = np.log(double[seen].astype(float)) - np.log(np.maximum(single[to - 1], 1).astype(float))
-        back[to] = False
+        before = _others(grams[0][0], unique, total, doc)
+        terms = np.log(np.maximum(before, 1).astype(float))
+        longest, used = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+        for _, at in grams[1:]:
+            longest[at] += 1
+        terms += longest * np.log(backoff)
+        for k, (h, at) in enumerate(grams[1:], 1):
+            n = _others(h, unique, total, doc[at])
+            to = at[n > 0]
+            terms[to] = np.log(n[n > 0].astype(float)) - np.log(np.maximum(before[to - 1], 1).astype(float)) + (longest[to] - k) * np.log(backoff)
+            used[to] = k
+            before = np.zeros(len(doc), np.int64)
+            before[at] = n
         sums = lambda x: np.bincount(doc, x, len(part))
-        return pa.table({"doc_id": part.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_backoff": pa.array(sums(back).astype(np.int64)), "logs": pa.array(sums(terms).astype(float))})
+        return pa.table({"doc_id": part.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_backoff": pa.array(sums(used < order - 1).astype(np.int64)), "n_single": pa.array(sums(used == 0).astype(np.int64)), "logs": pa.array(sums(terms).astype(float))})
 
     blocks = ex.packed(docs, ["doc_id", "text"], GROUP_BITS).select("g", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("bucket"), "data")
-    answers = joined(counts(docs, n_buckets)).select("g", F.lit(1).alias("kind"), "bucket", "data")
-    sums = ex.materialise(blocks.unionByName(answers).groupBy("g").applyInArrow(sum_up, "doc_id long, n_words long, n_backoff long, logs double"), "scores")
+    answers = joined(counts(docs, n_buckets, order)).select("g", F.lit(1).alias("kind"), "bucket", "data")
+    sums = ex.materialise(blocks.unionByName(answers).groupBy("g").applyInArrow(sum_up, "doc_id long, n_words long, n_backoff long, n_single long, logs double"), "scores")
     total = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]  # one number
     rest = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
-    return sums.select("doc_id", "n_words", "n_backoff", (F.col("logs") - F.col("n_backoff") * F.log(rest)).alias("log_score"))
+    return sums.select("doc_id", "n_words", "n_backoff", (F.col("logs") - F.col("n_single") * F.log(rest)).alias("log_score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -141,6 +152,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.withColumn("log_score", F.round("log_score", 6))
 
 
+def query3(spark, sf_dir: str) -> DataFrame:
+    """query() with n-grams of up to three words."""
+    out = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3)
+    return out.withColumn("log_score", F.round("log_score", 6))
+
+
 SQL = r"""
 WITH docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
@@ -161,3 +178,26 @@ terms AS (
 SELECT d.doc_id, len(d.ws) AS n_words, coalesce(sum(t.b), 0)::BIGINT AS n_backoff, round(coalesce(sum(t.t), 0), 6) AS log_score
 FROM docs d LEFT JOIN terms t ON t.doc_id = d.doc_id GROUP BY d.doc_id, len(d.ws)
 """
+
+SQL3 = r"""
+WITH docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
+triples AS (SELECT *, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT count(*) AS n FROM words),
+counted AS (
+  SELECT p.doc_id, p.i, d.n_words,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY p.doc_id, w) AS cw,
+    CASE WHEN v IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY p.doc_id, v, w) END AS cp,
+    CASE WHEN u IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY p.doc_id, u, v, w) END AS ct
+  FROM triples p JOIN (SELECT doc_id, len(ws) AS n_words FROM docs) d ON d.doc_id = p.doc_id
+),
+before AS (SELECT *, lag(cw) OVER d AS cv, lag(cp) OVER d AS cuv FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+terms AS (
+  SELECT doc_id, CASE WHEN ct > 0 THEN 0 ELSE 1 END AS b,
+    CASE WHEN ct > 0 THEN ln(ct) - ln(cuv) WHEN cp > 0 THEN ln(cp) - ln(cv) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+      ELSE ln(greatest(cw, 1)) + least(i - 1, 2) * ln(0.4) - ln(greatest(n.n - n_words, 1)) END AS t
+  FROM before, n
+)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(sum(t.b), 0)::BIGINT AS n_backoff, round(coalesce(sum(t.t), 0), 6) AS log_score
+FROM docs d LEFT JOIN terms t ON t.doc_id = d.doc_id GROUP BY d.doc_id, len(d.ws)
+"""

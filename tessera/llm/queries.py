@@ -18,5 +18,5 @@ _MODULES = {
     "op10_pii_weak_supervision": pii,
 }
 
-QUERIES = {name: m.query for name, m in _MODULES.items()} | {"pipeline": corpus_pipeline.run, "op6_quality_divergence_fitted": quality.fitted}
-SQL = {name: m.SQL for name, m in _MODULES.items() if m.SQL} | {"op6_quality_divergence_fitted": quality.FITTED_SQL}
+QUERIES = {name: m.query for name, m in _MODULES.items()} | {"pipeline": corpus_pipeline.run, "op6_quality_divergence_fitted": quality.fitted, "op8_lm_backoff_order3": lm.query3}
+SQL = {name: m.SQL for name, m in _MODULES.items() if m.SQL} | {"op6_quality_divergence_fitted": quality.FITTED_SQL, "op8_lm_backoff_order3": lm.SQL3}
