@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import blocking, calibration, decisions, fellegi, groups, models, pairs, records
+from tessera.plans.settings import DEFAULTS
 from tessera.sources.tables import Artifacts, joined_lists
 
-HOW = blocking.Blocking(k1=10, rev_k=3)
+HOW = blocking.Blocking(prefix_m=DEFAULTS["prefix_m"], k1=DEFAULTS["k1"], rev_k=DEFAULTS["rev_k"])
 #: Countries of the languages in the tables; others stand for themselves.
 COUNTRIES = {"en": "US", "fr": "France"}
 
@@ -64,7 +65,7 @@ def features(spark, sf_dir: str) -> DataFrame:
     return pairs.full_features(keep.save("candidates", blocking.candidates(rec, HOW)), rec)
 
 
-def run(spark, sf_dir: str, folds: int = 2, rounds: int = 3, depth: int = 3, k2: int = 6, hold: float = 0.1) -> DataFrame:
+def run(spark, sf_dir: str, folds: int = DEFAULTS["n_folds"], rounds: int = 20, depth: int = 5, k2: int = DEFAULTS["k2"], hold: float = 0.1) -> DataFrame:
     """source1_entity_id and matched_entity_ids of every left record."""
     keep = store(spark)
     raw = raw_pages(spark, sf_dir)

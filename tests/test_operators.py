@@ -343,3 +343,19 @@ def test_refits(spark):
     assert not selftrain.drifted(chosen, chosen, left) and selftrain.drifted(chosen, chosen.limit(5), left)
     best, top = selftrain.tune_group(df.select("a", "b", "q"), left.select("a"), df.filter("y = 1").select("a", "b"), settings.DEFAULTS | {"delta_grid": [0.0], "lam_grid": [0.8], "min_p_grid": []})
     assert best["excl"] in ("hard:0.0", "soft") and top == pytest.approx(1.0)
+
+
+def test_linkage_uses_the_settings(spark, tmp_path):
+    import inspect
+
+    from tessera.operators import blocking
+    from tessera.plans import linkage, settings
+
+    page = lambda i, host, title: (i, f"https://{host}/p{i}", f'<html lang="en"><title>{title}</title></html>')
+    rows = [page(3 * i, "shop.example", "red garden lamps") for i in range(6)] + [page(3 * i + 1, "shop.example", "red garden lamps") for i in range(40)]
+    rows += [page(300 + 3 * i + 1, f"other{i}.example", f"blue boats number{i}") for i in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = blocking.candidates(linkage.encoded(spark, str(tmp_path)), linkage.HOW)
+    assert got.filter("a = 15 AND b < 300").count() == 40
+    run = {n: p.default for n, p in inspect.signature(linkage.run).parameters.items()}
+    assert (run["folds"], run["k2"]) == (settings.DEFAULTS["n_folds"], settings.DEFAULTS["k2"])
