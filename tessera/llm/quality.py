@@ -1,8 +1,9 @@
 """Quality rules: distribution divergence from language references, with DataFrame functions alone.
 
-Two histograms of a document, of character classes and of its language's common words, are compared with the language's
-own over the whole corpus by the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). Guards on the
-length keep short texts from being judged by chance. Base counts and rules come first.
+Two histograms of a document, of character classes and of its language's common words, are compared by the Jensen-Shannon
+distance (square root of the divergence in bits, 0 to 1) with the language's reference: the sums over all documents that
+pass the base rules, so that repetitive junk has no say in it. Guards on the length keep short texts from being judged by
+chance. Base counts and rules come first.
 
 Everything about one text is computed inside its row by array functions: no row per word leaves it. What crosses the
 network is one row of sums per language and task.
@@ -28,12 +29,22 @@ COMMON = {
     "es": "de la que el en y los se del las un por con no una su para es al lo".split(),
     "fr": "le la de et les des en un une du que qui dans est pour par sur au avec ce".split(),
 }
-_CODES = "abcdefghijklmnopqrst"
+N_COMMON = 20
+_PUNCTUATION = ".,;:!?"
 WINDOW = 5
-#: Fixed values of the tighter limit on word_distance. The slack is what sampling alone gives: for n words in k cells, 8 ln(2) n
-#: times the divergence has a mean of k - 1, so the distance is near sqrt((k - 1) / (8 ln(2) n)), and k is 21. The base is fit_base of sf0.1.
-FITTED_WORD_SLACK = 1.9
-FITTED_WORD_DISTANCE = 0.1
+#: Limits of the distances beyond what sampling alone gives (sampling_slack). The one of words is fit_base of sf0.1's labels, whose
+#: sample is bounded; the one of classes has room for texts of unlike kinds (lists, quotes, numbers).
+MAX_CLASS_DISTANCE, CLASS_SLACK = 0.2, 0.8
+MAX_WORD_DISTANCE = 0.1
+
+
+def sampling_slack(cells: int) -> float:
+    """s such that n draws from a distribution over so many cells lie about s / sqrt(n) from it: 8 ln(2) n times the divergence
+    has a mean of cells - 1."""
+    return math.sqrt((cells - 1) / (8 * math.log(2)))
+
+
+WORD_SLACK = round(sampling_slack(N_COMMON + 1), 2)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,59 +75,75 @@ def _repeat_words(words: Column) -> Column:
     return _let(words, of)
 
 
-def _codes(words: Column, language: Column) -> Column:
-    """One character per short word: which common word of the language it is, or a dot."""
-    lists = F.lit(None).cast("array<string>")
-    for name, own in COMMON.items():
-        lists = F.when(language == name, F.array(*map(F.lit, own))).otherwise(lists)
-    code = lambda known, w: F.substr(F.lit("." + _CODES), F.array_position(known, F.rtrim(F.lower(w), F.lit(".,;:!?"))).cast("int") + 1, F.lit(1))
-    short = F.filter(words, lambda w: F.octet_length(w) <= 6)
-    return F.coalesce(_let(lists, lambda known: F.array_join(F.transform(short, lambda w: code(known, w)), "")), F.lit(""))
+def _left(text: Column, pattern: str) -> Column:
+    """text without the characters of a class."""
+    return F.regexp_replace(text, F.lit(pattern + "+"), F.lit(""))
 
 
-def features(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """docs (or some of its columns) with a struct _q of counts of each text; a null text counts as empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    language = F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise(F.lit(""))
-    words = F.filter(F.split(text, _WS + "+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    counts = [F.regexp_count(text, F.lit(p)).cast("long") for p in CLASSES.values()]
+def _common(framed: Column, language: Column) -> Column:
+    """How often each common word of the language stands in a framed text (each word between two line ends of its own)."""
+    frames = {n: [f"\n{w}\n" for w in ws] for n, ws in COMMON.items()}
+
+    def count(i: int) -> Column:
+        word = F.lit(None).cast("string")
+        for name, own in frames.items():
+            word = F.when(language == name, F.lit(own[i])).otherwise(word)
+        n = F.octet_length(framed) - F.octet_length(F.replace(framed, word, F.lit("")))
+        return F.coalesce((n / F.octet_length(word)).cast("long"), F.lit(0).cast("long"))
 
-    def of_words(ws: Column) -> Column:
-        return F.struct(F.size(ws).cast("long").alias("n_words"), _repeat_words(ws).cast("long").alias("n_repeat_words"), _codes(ws, language).alias("codes"))
+    return F.array(*(count(i) for i in range(N_COMMON)))
 
+
+def features(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """A struct _row of docs' columns (or some of them) and a struct _q of counts of each text; a null text counts as empty."""
+    keep = docs.columns if columns is None else columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lang = F.col("lang").cast("string")
     first = docs.select(
-        *([f"`{c}`" for c in (columns or docs.columns)]),
-        language.alias("_language"),
-        F.length(text).cast("long").alias("_length"),
-        F.array(*counts).alias("_classes"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("_symbols"),
-        _let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("_dup_lines"),
-        _let(words, of_words).alias("_words"),
+        (F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None)).alias("_row"),
+        F.when(lang.isin(list(COMMON)), lang).otherwise(F.lit("")).alias("language"),
+        text.alias("text"),
+        _left(text, CLASSES["lower"]).alias("rest"),
     )
-    codes = F.col("_words.codes")
-    common = F.array(*(F.regexp_count(codes, F.lit(c)).cast("long") for c in _CODES))
-    second = first.withColumn("_common", common)
-    counted = F.aggregate("_classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    named = F.aggregate("_common", F.lit(0).cast("long"), lambda a, x: a + x)
+    # each class is counted on what the classes before it left over, which gets shorter and shorter
+    step = first.select("_row", "language", "text", F.length("text").alias("length"), F.length("rest").alias("n_lower"), _left(F.col("rest"), CLASSES["space"]).alias("rest"))
+    step = step.withColumns({"n_space": F.length("rest"), "rest": _left(F.col("rest"), CLASSES["upper"])})
+    step = step.withColumns({"n_upper": F.length("rest"), "rest": _left(F.col("rest"), CLASSES["digit"])})
+    marks = [F.regexp_count("rest", F.lit(p)).cast("long") for p in (CLASSES["stop"], CLASSES["symbol"], "[#*$%&|<>]")]
+    words = F.filter(F.split("text", _WS + "+"), lambda w: w != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    framed = F.concat(F.lit("\n"), F.regexp_replace(F.lower(F.concat("text", F.lit("\n"))), F.lit(f"[{_PUNCTUATION}]*{_WS}+"), F.lit("\n\n")))
+    second = step.select(
+        "_row", "language", "length", "n_lower", "n_space", "n_upper", F.length("rest").alias("n_digit"), F.array(*marks).alias("marks"),
+        _let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+        _let(words, lambda ws: F.struct(F.size(ws).cast("long").alias("n"), _repeat_words(ws).cast("long").alias("repeated"))).alias("words"),
+        _let(framed, lambda t: _common(t, F.col("language"))).alias("common"),
+    )
+    n = {"lower": F.col("length") - F.col("n_lower"), "space": F.col("n_lower") - F.col("n_space"), "upper": F.col("n_space") - F.col("n_upper"),
+         "digit": F.col("n_upper") - F.col("n_digit"), "stop": F.get("marks", F.lit(0)), "symbol": F.get("marks", F.lit(1))}
+    beyond = F.col("n_digit") - F.get("marks", F.lit(0)) - F.get("marks", F.lit(1))
+    named = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
     q = F.struct(
-        F.col("_language").alias("language"),
-        F.col("_words.n_words").alias("n_words"),
-        (F.col("_length") - F.element_at("_classes", 1 + list(CLASSES).index("space"))).alias("word_chars"),
-        F.col("_symbols").alias("n_symbols"),
-        F.col("_dup_lines").alias("n_dup_lines"),
-        F.col("_words.n_repeat_words").alias("n_repeat_words"),
-        F.concat("_classes", F.array(F.col("_length") - counted)).alias("classes"),
-        F.concat("_common", F.array(F.col("_words.n_words") - named)).alias("common"),
+        "language",
+        F.col("words.n").alias("n_words"),
+        (F.col("length") - n["space"]).cast("long").alias("word_chars"),
+        F.get("marks", F.lit(2)).alias("n_symbols"),
+        "n_dup_lines",
+        F.col("words.repeated").alias("n_repeat_words"),
+        F.array(*(n[c].cast("long") for c in CLASSES), beyond.cast("long")).alias("classes"),
+        F.concat("common", F.array(F.col("words.n") - named)).alias("common"),
+        ((F.col("words.n") < 10) | (100 * F.col("words.repeated") > 20 * F.col("words.n"))).alias("base_failed"),
     )
-    return second.select(*(f"`{c}`" for c in (columns or docs.columns)), q.alias("_q"))
+    return second.select("_row", q.alias("_q"))
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """(language, ref_classes, ref_common): sums of the histograms over all documents; one row per known language and one for the rest."""
+    """(language, ref_classes, ref_common): sums of the histograms over all documents that pass the base rules; at most one
+    row per known language and one for the rest."""
     sums = [F.sum(F.element_at("_q.classes", i + 1)) for i in range(len(CLASSES) + 1)]
-    more = [F.sum(F.element_at("_q.common", i + 1)) for i in range(len(_CODES) + 1)]
-    return counted.groupBy(F.col("_q.language").alias("language")).agg(F.array(*sums).alias("ref_classes"), F.array(*more).alias("ref_common"))
+    more = [F.sum(F.element_at("_q.common", i + 1)) for i in range(N_COMMON + 1)]
+    sound = counted.filter("NOT _q.base_failed").groupBy(F.col("_q.language").alias("language"))
+    return sound.agg(F.array(*sums).alias("ref_classes"), F.array(*more).alias("ref_common"))
 
 
 def _distance(counts: Column, reference: Column) -> Column:
@@ -129,13 +156,16 @@ def _distance(counts: Column, reference: Column) -> Column:
     return F.when((total(counts) > 0) & (total(reference) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(F.lit(0.0))
 
 
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
+
+
 def judge(
     docs: DataFrame,
     columns: list[str] | None = None,
-    max_class_distance: float = 0.2,
-    class_slack: float = 0.8,
-    max_word_distance: float = 0.18,
-    word_slack: float = 2.0,
+    max_class_distance: float = MAX_CLASS_DISTANCE,
+    class_slack: float = CLASS_SLACK,
+    max_word_distance: float = MAX_WORD_DISTANCE,
+    word_slack: float = WORD_SLACK,
     min_chars: int = 200,
     min_words: int = 50,
 ) -> DataFrame:
@@ -146,44 +176,46 @@ def judge(
     words, or more than a fifth of the words in five-word windows that occur twice or more in the text. kept is false if
     base_failed, if the text has min_chars characters in words and its class_distance is above max_class_distance plus
     class_slack / sqrt(n_words), or if it has min_words words, its language is known and its word_distance is above
-    max_word_distance plus word_slack / sqrt(n_words): the fewer words, the further chance alone takes a clean text. A null or empty text has no
-    words and fails. A null or unknown language is compared with all such documents, by classes alone. Distances are
-    rounded to 9 digits. Repeated rows stay; input columns of the names above are replaced; an empty table gives an empty
-    result.
+    max_word_distance plus word_slack / sqrt(n_words): the fewer words, the further chance alone takes a clean text. A null
+    or empty text has no words and fails. A null or unknown language is compared with all such documents, by classes
+    alone. Where no document of a language passes the base rules, distances are 0. Distances are rounded to 9 digits.
+    Repeated rows stay and are judged alike; input columns of the names above are replaced, others may have any name; an
+    empty table gives an empty result. A text of any length is held whole by one task.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
-    columns = [c for c in (columns or docs.columns) if c not in made]
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in MADE]
     counted = ex.materialise(features(docs, columns), "quality")
     # At most one row for each language in COMMON and one for the rest.
-    both = counted.join(F.broadcast(references(counted)), F.col("_q.language") == F.col("language"))
+    both = counted.join(F.broadcast(references(counted)), F.col("_q.language") == F.col("language"), "left")
     q = F.col("_q")
     class_distance = F.round(_distance(q["classes"], F.col("ref_classes")), 9)
     word_distance = F.round(F.when(q["language"] != "", _distance(q["common"], F.col("ref_common"))).otherwise(F.lit(0.0)), 9)
-    failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
+    judged = both.select("_row", "_q", class_distance.alias("_class"), word_distance.alias("_word"))
     root = F.sqrt(F.greatest(q["n_words"], F.lit(1)))
-    far = (q["word_chars"] >= min_chars) & (F.col("class_distance") > max_class_distance + class_slack / root)
-    far = far | ((q["n_words"] >= min_words) & (F.col("word_distance") > max_word_distance + word_slack / root))
-    return (
-        both.select(*(f"`{c}`" for c in columns), *(q[n].alias(n) for n in made[:5]), class_distance.alias("class_distance"), word_distance.alias("word_distance"), q.alias("_q"))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & ~far)
-        .drop("_q")
-    )
+    far = (q["word_chars"] >= min_chars) & (F.col("_class") > max_class_distance + class_slack / root)
+    far = far | ((q["n_words"] >= min_words) & (F.col("_word") > max_word_distance + word_slack / root))
+    made = [*(q[n].alias(n) for n in MADE[:5]), F.col("_class").alias("class_distance"), F.col("_word").alias("word_distance"), q["base_failed"].alias("base_failed")]
+    return judged.select(*(F.col("_row").getField(c).alias(c) for c in columns), *made, (~q["base_failed"] & ~far).alias("kept"))
 
 
 def fit_base(judged: DataFrame, labels: DataFrame, sample: int = 5000, min_words: int = 50) -> float:
-    """How far clean text goes beyond FITTED_WORD_SLACK / sqrt(n_words), rounded up to hundredths: the largest excess of word_distance
+    """How far clean text goes beyond WORD_SLACK / sqrt(n_words), rounded up to hundredths: the largest excess of word_distance
     among the sample documents of quality 1 that have min_words words and the smallest md5 of doc_id. 0 if there are none."""
     clean = labels.filter("quality = 1").select("doc_id").distinct()
     rows = judged.filter((F.col("n_words") >= min_words) & ~F.col("base_failed")).join(clean, "doc_id")
-    rows = rows.select(F.md5(F.col("doc_id").cast("string")).alias("_order"), (F.col("word_distance") - FITTED_WORD_SLACK / F.sqrt("n_words")).alias("excess"))
+    rows = rows.select(F.md5(F.col("doc_id").cast("string")).alias("_order"), (F.col("word_distance") - WORD_SLACK / F.sqrt("n_words")).alias("excess"))
     most = rows.orderBy("_order").limit(sample).agg(F.max("excess")).first()[0]  # one number
     return math.ceil(100 * max(most or 0.0, 0.0)) / 100
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep."""
-    return judge(docs).filter("kept").select(*(f"`{c}`" for c in docs.columns))
+    """Pipeline stage: the documents that the rules keep, with the columns of docs.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables: as in judge. A column that has the name of a made one
+    comes through unchanged, like all others.
+    """
+    columns = docs.columns
+    judged = judge(docs.withColumn("_all", F.struct(*(F.col(f"`{c}`") for c in columns))), ["_all"])
+    return judged.filter("kept").select(*(F.col("_all").getField(c).alias(c) for c in columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -191,11 +223,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
 
 
-def fitted(spark, sf_dir: str) -> DataFrame:
-    """query() under the tighter limit on word_distance."""
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], max_word_distance=FITTED_WORD_DISTANCE, word_slack=FITTED_WORD_SLACK)
-
-
 def _sql() -> str:
     common = " ".join(f"WHEN lang = '{n}' THEN [{', '.join(repr(w) for w in ws)}]" for n, ws in COMMON.items())
     quoted = lambda p: p.replace("'", "''")
@@ -221,9 +248,7 @@ base AS (
 wins AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM base)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM wins) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY doc_id),
-short AS (
-  SELECT *, list_transform(list_filter(ws, lambda w: strlen(w) <= 6), lambda w: rtrim(lower(w), '.,;:!?')) AS ss FROM base
-),
+short AS (SELECT *, list_transform(ws, lambda w: rtrim(lower(w), '.,;:!?')) AS ss FROM base),
 hist AS (
   SELECT s.doc_id, lang, len(ws) AS n_words, length(text) - c6[4] AS word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
     list_append(c6, length(text) - list_sum(c6)) AS classes,
@@ -231,17 +256,16 @@ hist AS (
   FROM short s LEFT JOIN covered c ON c.doc_id = s.doc_id
 ),
 full_hist AS (SELECT *, list_append(c20, n_words - list_sum(c20)) AS words FROM hist),
-refs AS (SELECT lang, {sums("classes", 7)} AS rc, {sums("words", 21)} AS rw FROM full_hist GROUP BY lang),
+refs AS (SELECT lang, {sums("classes", 7)} AS rc, {sums("words", 21)} AS rw FROM full_hist WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) GROUP BY lang),
 far AS (
-  SELECT h.*, round({distance("classes", "rc")}, 9) AS class_distance, CASE WHEN h.lang = '' THEN 0.0 ELSE round({distance("words", "rw")}, 9) END AS word_distance,
+  SELECT h.*, round(coalesce({distance("classes", "rc")}, 0.0), 9) AS class_distance, CASE WHEN h.lang = '' THEN 0.0 ELSE round(coalesce({distance("words", "rw")}, 0.0), 9) END AS word_distance,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
-  FROM full_hist h JOIN refs r ON r.lang = h.lang
+  FROM full_hist h LEFT JOIN refs r ON r.lang = h.lang
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed,
-  NOT base_failed AND NOT (word_chars >= 200 AND class_distance > 0.2 + 0.8 / sqrt(n_words) OR n_words >= 50 AND word_distance > 0.18 + 2 / sqrt(n_words)) AS kept
+  NOT base_failed AND NOT (word_chars >= 200 AND class_distance > {MAX_CLASS_DISTANCE} + {CLASS_SLACK} / sqrt(n_words) OR n_words >= 50 AND word_distance > {MAX_WORD_DISTANCE} + {WORD_SLACK} / sqrt(n_words)) AS kept
 FROM far
 """
 
 
 SQL = _sql()
-FITTED_SQL = SQL.replace("word_distance > 0.18 + 2 / sqrt(n_words)", f"word_distance > {FITTED_WORD_DISTANCE} + {FITTED_WORD_SLACK} / sqrt(n_words)")

@@ -140,9 +140,9 @@ def test_fitted_limit_finds_broken_prose(spark):
     broken = lambda n: " | ".join(w for w in words(2 * n) if w not in common or rnd.random() < 0.15)
     rows = [(i, " ".join(words(rnd.randint(60, 400))), "en") for i in range(200)] + [(1000 + i, broken(110), "en") for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    loose, tight = quality.judge(df), quality.judge(df, max_word_distance=quality.FITTED_WORD_DISTANCE, word_slack=quality.FITTED_WORD_SLACK)
+    loose = tight = quality.judge(df)
     kept = {r["doc_id"] for r in tight.filter("kept").collect()}
     far = {r["doc_id"]: r["word_distance"] for r in loose.collect()}
     assert all(i in kept for i in range(200)) and not any(i >= 1000 for i in kept), [far[i] for i in range(1000, 1005)]
     labels = df.select("doc_id", F.when(F.col("doc_id") < 1000, 1).otherwise(0).alias("quality"))
-    assert 0 <= quality.fit_base(loose, labels) <= quality.FITTED_WORD_DISTANCE and quality.fit_base(loose, labels.limit(0)) == 0
+    assert 0 <= quality.fit_base(loose, labels) <= quality.MAX_WORD_DISTANCE and quality.fit_base(loose, labels.limit(0)) == 0
