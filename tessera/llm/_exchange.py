@@ -5,32 +5,56 @@ row by row. Here documents are dealt into groups of GROUP consecutive ids, and w
 the hash space travels as one binary value: differences of sorted distinct hashes, stored byte plane by byte plane so that
 the shuffle's compression sees that their high bytes are alike. A hot hash is sent once per group and batch of documents, never once per document.
 
-Groups follow the order of the ids: whatever a smaller group holds belongs to smaller ids.
+Groups follow the order of the ids: whatever a smaller group holds belongs to smaller ids. How many ids make a group follows
+from the texts' bytes and from how densely the ids lie (group_bits). Rows without an id belong to groups of their own, by a
+hash of the text, which all count as one group that is larger than the others.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
+import math
 import tempfile
-import time
 import uuid
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP_BITS = 8
-NO_ID = (1 << 63) - 1
-FLUSH_BYTES = 8 << 20
+#: Bytes of text that a group is meant to hold, of text that a task gathers, and of input that a bucket stands for.
+GROUP_BYTES = 1 << 20
+FLUSH_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
-
-
-def configure(spark: SparkSession) -> None:
-    """Small Arrow batches: a few hundred long texts at a time bound a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+#: Groups of rows without an id begin here; their number.
+NULL_GROUP = 1 << 62
+NULL_GROUPS = 1 << 18
+NO_ID = (1 << 63) - 1
+#: Arrow batches of intermediate tables are small, and their shuffle files go once the table is written.
+_WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Sets these values, and what stood before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -69,25 +93,33 @@ def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     spark = df.sparkSession
     if small:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    path, schema = new_path(spark, name), df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    for _ in range(0 if small else 2):  # nobody needs the shuffle files behind the table any more; Spark deletes them once the plan is
-        gc.collect()  # collected, and its listeners let go of it a moment later
-        spark._jvm.System.gc()
-        time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+    path = new_path(spark, name)
+    with _settings(spark, _WRITING):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets in proportion to the input, and at least the session's shuffle partitions."""
-    spark = df.sparkSession
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - without statistics the session's setting stands
-        size = 0
-    size = size if size < 1 << 60 else 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, 1 << 20))
+    """Buckets in proportion to the input, and at least the session's shuffle partitions; these alone if the plan knows no size."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 60 else max(least, -(-size // BUCKET_BYTES))
+
+
+def group_bits(docs: DataFrame, target: int = GROUP_BYTES, column: str = "text") -> int:
+    """How many low bits of an id a group leaves out, so that it holds about target bytes where the ids lie densest.
+
+    The density is that of the densest of 1,000 equal parts of the rows. Consecutive ids of short texts make groups of
+    hundreds, long texts smaller ones, sparse (hashed) ids groups over wide stretches.
+    """
+    cuts = [i / 1000 for i in range(1001)]
+    known = docs.filter("doc_id IS NOT NULL")
+    n, size, at = known.agg(F.count("*"), F.sum(F.octet_length(column).cast("long")), F.percentile_approx("doc_id", cuts)).first()  # 1,001 numbers
+    if not n:
+        return 0
+    rows = max(1.0, target * n / max(size or 0, n))  # rows that make up a group
+    density = max(n / 1000 / (hi - lo + 1) for lo, hi in zip(at[:-1], at[1:], strict=True))
+    return min(62, max(0, round(math.log2(rows / min(density, 1.0)))))
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -126,9 +158,15 @@ def unpack(blobs: list) -> pa.Table:
     return pa.concat_tables(pa.ipc.open_stream(b).read_all() for b in blobs)
 
 
-def group_of(ids: pa.Array, bits: int = GROUP_BITS) -> np.ndarray:
-    """Group of each id: 2^bits consecutive ids; a null id counts as the largest."""
-    return ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64) >> bits
+def group_of(table: pa.Table, bits: int) -> np.ndarray:
+    """Group of each row: 2^bits consecutive ids; a null id gets one of the last groups, by its text."""
+    ids = table.column("doc_id").combine_chunks()
+    out = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) >> bits
+    null = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
+    if len(null):
+        texts = table.column("text").take(pa.array(null)).to_pylist()
+        out[null] = [NULL_GROUP + zlib.crc32((t or "").encode()) % NULL_GROUPS for t in texts]
+    return out
 
 
 def by_group(table: pa.Table, groups: np.ndarray) -> Iterator[tuple[int, pa.Table]]:
@@ -173,26 +211,26 @@ def _offsets(col: pa.Array) -> np.ndarray:
 PACKED = "g long, data binary"
 
 
-def packed(docs: DataFrame, columns: list[str], bits: int = GROUP_BITS) -> DataFrame:
-    """(g, data): the documents of a group that met in a task, as one compressed block. columns: doc_id, text first."""
+def packed(docs: DataFrame, bits: int) -> DataFrame:
+    """(g, data): the documents of a group that met in a task, as one compressed block. docs: doc_id, text and plainly named others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in flushes(batches):
-            parts = list(by_group(table, group_of(table.column("doc_id").combine_chunks(), bits)))
+            parts = list(by_group(table, group_of(table, bits)))
             yield pa.record_batch({"g": pa.array([g for g, _ in parts], pa.int64()), "data": pa.array([pack(t) for _, t in parts], pa.binary())})
 
-    return docs.select(*columns).mapInArrow(run, PACKED)
+    return docs.mapInArrow(run, PACKED)
 
 
 SENT = "bucket int, g long, data binary"
 
 
-def sent(docs: DataFrame, hashes_of, n_buckets: int) -> DataFrame:
+def sent(docs: DataFrame, hashes_of, n_buckets: int, bits: int) -> DataFrame:
     """(bucket, g, data): what each group sends to each bucket. hashes_of: table of doc_id and text -> hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in flushes(batches):
-            for g, part in by_group(table, group_of(table.column("doc_id").combine_chunks())):
+            for g, part in by_group(table, group_of(table, bits)):
                 yield addressed(g, np.unique(hashes_of(part)), n_buckets)
 
     return docs.select("doc_id", "text").mapInArrow(run, SENT)
@@ -221,8 +259,9 @@ def answered(rows: DataFrame, later_only: bool) -> DataFrame:
         first = np.r_[True, h[1:] != h[:-1]]
         begins = np.flatnonzero(first)
         run_of = np.cumsum(first) - 1
-        held = g > g[begins][run_of]
-        if not later_only:
+        if later_only:
+            held = np.minimum(g, NULL_GROUP) > np.minimum(g[begins], NULL_GROUP)[run_of]
+        else:
             held = (np.maximum.reduceat(g, begins) > g[begins])[run_of]
         h, g = h[held], g[held]
         order = np.lexsort((h, g))

@@ -167,7 +167,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABL
     components take no part. Only vectors of one length are compared. Equal rows count once. Queries that find fewer than
     k in their buckets are compared with all rows, in blocks, so that small tables give all they have.
     """
-    ex.configure(vectors.sparkSession)
     v = F.col("embedding").cast("array<double>")
     valid = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     # -0.0 + 0.0 is 0.0: equal vectors look alike to the window below

@@ -160,7 +160,7 @@ def _coder(key: tuple, data: bytes) -> TreeBPE:
     return _LOADED[key]
 
 
-def _with_coder(docs: DataFrame, ranks_path: str, pattern: str | None, leaf: int, schema: str, each: Callable) -> DataFrame:
+def _with_coder(docs: DataFrame, ranks_path: str, pattern: str | None, leaf: int, schema, each: Callable) -> DataFrame:
     if pattern is None:
         import public_tokenizers
 
@@ -175,7 +175,6 @@ def _with_coder(docs: DataFrame, ranks_path: str, pattern: str | None, leaf: int
         for batch in batches:
             yield each(coder, batch)
 
-    ex.configure(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -194,6 +193,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, leaf: i
     return _with_coder(picked, ranks_path, pattern, leaf, "doc_id long, ids array<int>", each)
 
 
+def with_counts(docs: DataFrame, ranks_path: str, name: str, pattern: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """docs with the number of tokens of each whole text in column `name`; a null text has none. Columns need plain names."""
+
+    def each(coder: TreeBPE, batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = [len(coder.encode(t or "")) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, name])
+
+    kept = docs.select(*(c for c in docs.columns if c != name)).withColumn("text", F.col("text").cast("string"))
+    return _with_coder(kept, ranks_path, pattern, leaf, kept.withColumn(name, F.lit(None).cast("long")).schema, each)
+
+
 def decode(tokens: DataFrame, ranks_path: str, pattern: str | None = None, leaf: int = LEAF) -> DataFrame:
     """doc_id and decoded (binary) of rows with doc_id and ids; null ids give no bytes. Ids must be of the vocabulary."""
 
@@ -225,7 +235,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str | None = None, lea
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: doc_id, n_tokens, ids (binary), and whether they decode to the text again."""
+    """Pipeline stage, the last: doc_id, n_tokens, ids (binary), and whether they decode to the text again.
+
+    A null or empty text has no ids; rows, repeated ones and null doc_ids too, stay as they are; other columns, whatever
+    their names, go; an empty table gives an empty result. A text of any length is encoded whole by one task.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -7,6 +7,8 @@ exchange packed distinct hashes (see _exchange): a window that a smaller group h
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,25 +75,32 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     Lines are split at \\n and compared whole. A window is `size` consecutive lines of a document, not all of them
     without a word. Of equal windows the first by (doc_id, place) stays; the lines of all others go, judged on the
     input. The lines left are joined by \\n again; a document may be left empty. A null text stays null, with no lines;
-    an empty one has one line. A null doc_id counts as the largest. Rows that repeat a doc_id follow each other in no
-    fixed order. Other columns stay, whatever their names (n_lines and n_removed of the input are replaced). Windows are
-    compared by 64-bit hashes. An empty table gives an empty result.
+    an empty one has one line. Rows that repeat a doc_id follow each other by the digests of their texts. A row without a
+    doc_id comes after all that have one, and keeps what only other rows without one have. Other columns stay, whatever
+    their names (n_lines and n_removed of the input are replaced). Windows are compared by 64-bit hashes. An empty table
+    gives an empty result. A text of any length is held whole by one task, and so are all rows of one doc_id.
     """
-    ex.configure(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(f"`{c}`") for c in rest))
-    n_buckets = ex.bucket_count(docs)
+    names = {c: f"r{i}" for i, c in enumerate(rest)}  # plain names on the way through Arrow
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    n_buckets, bits = ex.bucket_count(docs), ex.group_bits(docs)
 
     def windows_of(table: pa.Table) -> np.ndarray:
         return _windows(table, size)[2]
 
     def remove(g: int, table: pa.Table, known: np.ndarray) -> pa.Table:
-        table = table.take(pa.array(np.argsort(table.column("doc_id").fill_null(ex.NO_ID).to_numpy(), kind="stable")))
+        ids = table.column("doc_id").fill_null(ex.NO_ID).to_numpy()
+        if len(np.unique(ids)) < len(ids):
+            digests = np.array([hashlib.md5((t or "").encode()).hexdigest() for t in table.column("text").to_pylist()])
+            table = table.take(pa.array(np.lexsort((digests, ids))))
+        elif (ids[1:] < ids[:-1]).any():
+            table = table.take(pa.array(np.argsort(ids, kind="stable")))
         lines, at, keys = _windows(table, size)
         later = ex.within(known, keys)
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        later[order] |= np.r_[False, k[1:] == k[:-1]] if len(k) else np.zeros(0, bool)
+        same = lines.doc[at] if g >= ex.NULL_GROUP else np.zeros(len(at), np.int64)
+        order = np.lexsort((at, same, keys))
+        k, d = keys[order], same[order]
+        later[order] |= np.r_[False, (k[1:] == k[:-1]) & (d[1:] == d[:-1])] if len(k) else np.zeros(0, bool)
         mask = np.zeros(len(lines.starts), bool)
         mask[at[later]] = True
         gone = spans(mask, size)
@@ -106,12 +115,16 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
 
     schema = docs.withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     schema = type(schema)([type(f)(f.name, f.dataType, True) for f in schema])
-    answers = ex.answered(ex.sent(docs, windows_of, n_buckets), later_only=True)
-    return ex.meeting(ex.packed(docs, [f"`{c}`" for c in docs.columns]), answers, remove, schema)
+    answers = ex.answered(ex.sent(docs, windows_of, n_buckets, bits), later_only=True)
+    found = ex.meeting(ex.packed(docs, bits), answers, remove, schema)
+    return found.select("doc_id", "text", *(F.col(n).alias(c) for c, n in names.items()), "n_lines", "n_removed")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without repeated lines; n_chars follows the text."""
+    """Pipeline stage: documents without repeated lines, with the columns of docs; n_chars follows the text.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and other columns: as in dedup_lines. No row goes.
+    """
     out = dedup_lines(docs)
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 

@@ -20,7 +20,7 @@ from tessera.llm._text import Words, mix, utf8
 BACKOFF = 0.4
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 #: Larger groups than elsewhere share more n-grams, of which each is sent once.
-GROUP_BITS = 9
+GROUP_BYTES = 2 << 20
 _SENT = "bucket int, g long, data binary, counts binary"
 _ANSWER = "g long, bucket int, data binary"
 
@@ -46,12 +46,12 @@ def _others(keys: np.ndarray, unique: np.ndarray, total: np.ndarray, docs: np.nd
     return total[place] - own[inverse]
 
 
-def counts(docs: DataFrame, n_buckets: int, order: int = 2) -> DataFrame:
+def counts(docs: DataFrame, n_buckets: int, order: int, bits: int) -> DataFrame:
     """(bucket, g, data, counts): each group's distinct n-grams with their counts, by bucket of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in ex.flushes(batches):
-            for g, part in ex.by_group(table, ex.group_of(table.column("doc_id").combine_chunks(), GROUP_BITS)):
+            for g, part in ex.by_group(table, ex.group_of(table, bits)):
                 grams = _ngrams(Words(*utf8(part.column("text"))), order)
                 keys, n = np.unique(np.concatenate([h for h, _ in grams]), return_counts=True)
                 which, at = ex.cuts(keys, n_buckets)
@@ -105,8 +105,8 @@ def score(docs: DataFrame, backoff: float = BACKOFF, order: int = 2) -> DataFram
     that were not scored by an n-gram of order words. A null, empty or blank text has no words and a score of 0. Rows that repeat a doc_id are documents
     of their own; null ids too. An empty table gives an empty result. N-grams are told apart by 64-bit hashes.
     """
-    ex.configure(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    bits = ex.group_bits(docs, GROUP_BYTES)
     n_buckets = order * ex.bucket_count(docs)  # a bucket's n-grams are held at once
 
     def sum_up(table: pa.Table) -> pa.Table:
@@ -138,8 +138,8 @@ def score(docs: DataFrame, backoff: float = BACKOFF, order: int = 2) -> DataFram
         sums = lambda x: np.bincount(doc, x, len(part))
         return pa.table({"doc_id": part.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_backoff": pa.array(sums(used < order - 1).astype(np.int64)), "n_single": pa.array(sums(used == 0).astype(np.int64)), "logs": pa.array(sums(terms).astype(float))})
 
-    blocks = ex.packed(docs, ["doc_id", "text"], GROUP_BITS).select("g", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("bucket"), "data")
-    answers = joined(counts(docs, n_buckets, order)).select("g", F.lit(1).alias("kind"), "bucket", "data")
+    blocks = ex.packed(docs, bits).select("g", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("bucket"), "data")
+    answers = joined(counts(docs, n_buckets, order, bits)).select("g", F.lit(1).alias("kind"), "bucket", "data")
     sums = ex.materialise(blocks.unionByName(answers).groupBy("g").applyInArrow(sum_up, "doc_id long, n_words long, n_backoff long, n_single long, logs double"), "scores")
     total = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]  # one number
     rest = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")

@@ -198,23 +198,24 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        star, held = None, np.zeros(0, np.uint64)
+        star, held = None, []  # the sets of the star's texts: several only if a doc_id has several texts
         for table in ex.flushes(batches, limit=2 << 20):
             h, off = shingle_sets(table.column("text"))
             left, right = [], []
             for i, (a, turn, b) in enumerate(zip(*(table.column(c).to_pylist() for c in ("a", "turn", "doc_id")), strict=True)):
                 own = h[off[i] : off[i + 1]]
                 if not turn:
-                    star, held = a, own
+                    held = [*held, own] if star == a else [own]
+                    star = a
                     continue
                 assert star == a
-                common = int(ex.within(held, own).sum())
-                if common and 100 * common >= percent * (len(own) + len(held) - common):
+                common = [int(ex.within(x, own).sum()) for x in held]
+                if any(c and 100 * c >= percent * (len(own) + len(x) - c) for c, x in zip(common, held, strict=True)):
                     left.append(a)
                     right.append(b)
             yield pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -316,7 +317,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     if percent < 75:
         raise ValueError("signatures are made for a percentage of 75 or more")
-    ex.configure(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketches = ex.materialise(sketch(docs), "sketches")
     known = sketches.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL")
@@ -330,13 +330,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     stars = keys.groupBy("key").agg(F.min("a").alias("star"), F.count("*").alias("n")).filter("n > 1").select("key", "star")
     hits = ex.materialise(keys.join(stars, "key"), "hits")
     first = hits.filter("a <> star").select(F.col("star").alias("a"), F.col("a").alias("b")).distinct()
-    first = ex.materialise(_near(first, reps), "stars", small=True)
+    first = ex.materialise(_near(first, reps).distinct(), "stars", small=True)
 
-    ids = hits.select("a").distinct()
-    texts = ex.materialise(_texts(docs, ids), "texts")
+    texts = ex.materialise(_texts(docs.filter("doc_id IS NOT NULL"), hits.select("a").distinct()), "texts")
     links = ex.materialise(confirm(first, texts, percent), "links", small=True)
     labels = components(links)
-    second = _across(hits.select("key", "a"), labels, reps).join(first, ["a", "b"], "left_anti")
+    second = _across(hits.select("key", "a"), labels, reps).distinct().join(first, ["a", "b"], "left_anti")
     more = ex.materialise(confirm(ex.materialise(second, "across"), texts, percent), "links", small=True)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
@@ -354,31 +353,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents with these ids (column a), one row an id."""
+    """doc_id, text of the documents with these ids (column a), each text of an id once."""
+    bits = ex.group_bits(docs)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = list(ex.by_group(pa.Table.from_batches([batch]), ex.group_of(batch.column("a"))))
+            wanted = batch.column("a").to_numpy().astype(np.int64)
+            parts = list(ex.by_group(pa.Table.from_batches([batch]), wanted >> bits))
             blobs = [ex.sorted_blob(np.sort(t.column("a").to_numpy().astype(np.int64).view(np.uint64))) for _, t in parts]
             yield pa.record_batch({"g": pa.array([g for g, _ in parts], pa.int64()), "data": pa.array(blobs, pa.binary())})
 
     def pick(g: int, table: pa.Table, wanted: np.ndarray) -> pa.Table:
-        if not len(wanted):
-            return table.slice(0, 0)
-        own = table.column("doc_id").fill_null(ex.NO_ID).to_numpy().view(np.uint64)
-        _, first = np.unique(own, return_index=True)
-        first = first[ex.within(wanted, own[first])]
-        return table.take(pa.array(first))
+        own = table.column("doc_id").to_numpy().view(np.uint64)
+        table, own = table.take(pa.array(some := np.flatnonzero(ex.within(wanted, own)))), own[some]
+        if len(np.unique(own)) == len(own):
+            return table
+        seen = dict.fromkeys(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True))
+        return pa.table({"doc_id": pa.array([i for i, _ in seen], pa.int64()), "text": pa.array([t for _, t in seen], pa.string())})
 
     answers = ids.mapInArrow(asked, ex.PACKED)
-    return ex.meeting(ex.packed(docs, ["doc_id", "text"]), answers, pick, "doc_id long, text string")
+    return ex.meeting(ex.packed(docs, bits), answers, pick, "doc_id long, text string")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near duplicates, the one with the smallest doc_id."""
+    """Pipeline stage: one document of each group of near duplicates, the one with the smallest doc_id, with the columns of docs.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables: as in near_duplicates; rows without a doc_id and all
+    rows of a kept doc_id stay. Other columns may have any name.
+    """
     kept = near_duplicates(docs).filter("kept").select("doc_id")
     known = docs.join(kept.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-    return known.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    return known.unionByName(docs.filter("doc_id IS NULL")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,22 +6,25 @@ proportion to their weights. Since a node's own budget never exceeds what its su
 once the siblings are full. Each level is one window over sorted capacity-to-weight ratios, so no loop runs on the driver.
 
 A leaf passes through its documents in a seeded order, anew in every epoch, and takes documents while the tokens before
-them are below its budget. The place of a document in that order is found in two steps, by sums over BINS equal parts of
+them are below its budget. The place of a document in that order is found in two steps, by sums over equal parts (bins) of
 the order and then inside the one part where the budget ends, so that a huge leaf is never sorted in one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm import _exchange as ex
+from tessera.llm import bpe
 
 LEVELS = ("domain", "language", "source")
-#: Hexadecimal digits of the order key that name a bin: 16^3 bins.
-BIN_DIGITS = 3
+#: Rows that a bin and a salted part of a leaf are meant to hold.
+BIN_ROWS, PART_ROWS = 1000, 50_000
 
 #: Domains of the source numbers in `documents`, and weights; a node that is not named has weight 1.
 WEIGHTS = {
@@ -90,15 +93,16 @@ def mix(
     max_epochs: int = 1,
     seed: int = 0,
     columns: list[str] | None = None,
+    tokens: Column | None = None,
 ) -> DataFrame:
     """The chosen rows of docs (or columns of it), once for each epoch that takes them, with domain, n_tokens, epoch and
     tokens_before (in the leaf, over all epochs).
 
     docs: doc_id long, text, lang, source strings, and domain if there is one (else domain_of(source)). The budget is
-    total_tokens, or share of all tokens, or all tokens. Null languages, sources and domains are leaves of their own,
+    total_tokens, or share of all tokens, or all tokens; tokens counts a row's (words if not given). Null languages, sources and domains are leaves of their own,
     named ''. Documents without words are taken like others and cost nothing; nothing is taken of a leaf with no tokens.
     Documents with equal ids are ordered by their texts' digests, equal rows by chance. Null ids sort as ''. Input
-    columns of the made names are replaced; an empty table gives an empty result.
+    columns of the made names are replaced, others may have any name; an empty table gives an empty result.
     """
     made = ["domain", "n_tokens", "epoch", "epoch_start"]
     keep = [c for c in (columns or docs.columns) if c not in made]
@@ -108,12 +112,14 @@ def mix(
         *(F.coalesce(c, F.lit("")).alias(n) for c, n in ((domain, "_domain"), (F.col("lang").cast("string"), "_language"), (F.col("source").cast("string"), "_source"))),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
         F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_tie"),
-        count_tokens(F.col("text").cast("string")).alias("n_tokens"),
+        (count_tokens(F.col("text").cast("string")) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))).alias("n_tokens"),
     ).withColumnsRenamed({"_domain": "domain", "_language": "language", "_source": "source"})
     named = ex.materialise(named, "mixing")
     leaf = list(LEVELS)
 
-    leaves = named.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = ex.materialise(named.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves", small=True)
+    most = leaves.agg(F.coalesce(F.max("rows"), F.lit(1))).first()[0]  # one number
+    digits, salts = max(1, math.ceil(math.log(max(1, most / BIN_ROWS), 16))), -(-most // PART_ROWS)
     total = F.lit(None).cast("double") if total_tokens is None else F.lit(float(total_tokens))
     if total_tokens is None and share is not None:
         total = F.lit(float(share)) * F.sum("tokens").over(Window.partitionBy(F.lit(0))).cast("double")
@@ -124,13 +130,13 @@ def mix(
     whole = F.least(F.col("whole"), F.lit(max_epochs)).cast("int")
     plan = plan.select(*leaf, "tokens", whole.alias("whole"), "rest")
     # One row a leaf against the documents: salted, as one leaf may hold a third of them.
-    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    rows = named.withColumn("salt", F.pmod(F.xxhash64("_id", "_tie"), F.lit(64)).cast("int")).join(salted, [*leaf, "salt"])
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = named.withColumn("salt", F.pmod(F.xxhash64("_id", "_tie"), F.lit(salts)).cast("int")).join(salted, [*leaf, "salt"])
     digest = lambda epoch: F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("_id")).cast("binary"))
 
     # Whole epochs: places are known up to the order, which does not matter for taking; tokens_before is the epoch's.
     full = rows.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("whole")))).withColumn("tokens_before", (F.col("epoch") - 1) * F.col("tokens"))
-    part = rows.filter("rest > 0").withColumn("epoch", F.col("whole") + 1).withColumn("key", digest(F.col("whole") + 1)).withColumn("bin", F.substring("key", 1, BIN_DIGITS))
+    part = rows.filter("rest > 0").withColumn("epoch", F.col("whole") + 1).withColumn("key", digest(F.col("whole") + 1)).withColumn("bin", F.substring("key", 1, digits))
     bins = part.groupBy(*leaf, "bin").agg(F.sum("n_tokens").alias("in_bin"))
     ahead = F.coalesce(F.sum("in_bin").over(Window.partitionBy(*leaf).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     bins = bins.withColumn("ahead", ahead).join(plan.select(*leaf, "rest"), leaf)
@@ -142,7 +148,7 @@ def mix(
     out = ["_row", "domain", "n_tokens", "epoch", "tokens_before"]
     start = F.col("whole") * F.col("tokens")
     taken = full.select(*out).unionByName(near.filter("inside").withColumn("tokens_before", start).select(*out)).unionByName(edge.withColumn("tokens_before", start).select(*out))
-    return taken.select("_row.*", "domain", "n_tokens", F.col("epoch").cast("long").alias("epoch"), F.col("tokens_before").cast("long").alias("epoch_start"))
+    return taken.select(*(F.col("_row").getField(c).alias(c) for c in keep), "domain", "n_tokens", F.col("epoch").cast("long").alias("epoch"), F.col("tokens_before").cast("long").alias("epoch_start"))
 
 
 #: Share of the pipeline's tokens that the mix takes.
@@ -150,8 +156,18 @@ PIPELINE_SHARE = 0.9
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: nine tenths of all tokens, mixed to WEIGHTS, each document at most once."""
-    return mix(docs, WEIGHTS, share=PIPELINE_SHARE, max_epochs=1, seed=11).select(*(f"`{c}`" for c in docs.columns))
+    """Pipeline stage: nine tenths of all byte-level BPE tokens, mixed to WEIGHTS, each document at most once, with the columns of docs.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables: as in mix. A column `domain` is used as in mix; a
+    column that has the name of a made one comes through unchanged, like all others.
+    """
+    import public_tokenizers
+
+    given = [c for c in ("doc_id", "text", "lang", "source", "domain") if c in docs.columns]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), *given)
+    counted = bpe.with_counts(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), "_bpe")
+    out = mix(counted, WEIGHTS, share=PIPELINE_SHARE, max_epochs=1, seed=11, columns=["_all"], tokens=F.col("_bpe"))
+    return out.select(*(F.col("_all").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

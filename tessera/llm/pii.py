@@ -179,7 +179,6 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     docs: doc_id long, text string, others ignored. A null or empty text has no spans. Null and repeated doc_ids stay as
     they are; an empty table gives an empty result.
     """
-    ex.configure(docs.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from tessera.llm import ann, bpe, lines, lm, minhash, mixing, pii, quality, substring, warc
+from tessera.llm import ann, bpe, lines, lm, minhash, mixing, pii, pipeline, quality, substring, warc
 
 _MODULES = {
     "op1_byte_bpe": bpe,
@@ -18,5 +17,5 @@ _MODULES = {
     "op10_pii_weak_supervision": pii,
 }
 
-QUERIES = {name: m.query for name, m in _MODULES.items()} | {"pipeline": corpus_pipeline.run, "op6_quality_divergence_fitted": quality.fitted, "op8_lm_backoff_order3": lm.query3}
-SQL = {name: m.SQL for name, m in _MODULES.items() if m.SQL} | {"op6_quality_divergence_fitted": quality.FITTED_SQL, "op8_lm_backoff_order3": lm.SQL3}
+QUERIES = {name: m.query for name, m in _MODULES.items()} | {"pipeline": pipeline.run, "op8_lm_backoff_order3": lm.query3}
+SQL = {name: m.SQL for name, m in _MODULES.items() if m.SQL} | {"op8_lm_backoff_order3": lm.SQL3}

@@ -58,13 +58,13 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
     docs: doc_id long, text string, others ignored. Returns doc_id, n_words, n_removed and kept, the words left joined
     by single spaces. Windows are judged on the input. A null text has no words; a null doc_id counts as larger than
     all others (and as equal to other nulls); rows that repeat a doc_id do not remove each other's words. An empty table
-    gives an empty result. width must be 7 at least. Windows are compared by 64-bit hashes.
+    gives an empty result. width must be 7 at least. Windows are compared by 64-bit hashes. A text of any length is held
+    whole by one task, and so are all rows of one doc_id; rows without one are spread by their texts.
     """
     if width < PERIOD:
         raise ValueError(f"width must be at least {PERIOD}")
-    ex.configure(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n_buckets = ex.bucket_count(docs)
+    n_buckets, bits = ex.bucket_count(docs), ex.group_bits(docs)
 
     def anchors_of(table: pa.Table) -> np.ndarray:
         words = Words(*utf8(table.column("text")))
@@ -124,8 +124,8 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_removed": pa.array(n_removed),
                          "kept": pa.array([_kept(_bytes(text, i), keep[words.off[i] : words.off[i + 1]]) for i in range(len(ids))], pa.string())})
 
-    anchors = ex.answered(ex.sent(docs, anchors_of, n_buckets), later_only=False)
-    found = ex.materialise(ex.meeting(ex.packed(docs, ["doc_id", "text"]), anchors, extend, _FOUND), "substrings")
+    anchors = ex.answered(ex.sent(docs, anchors_of, n_buckets, bits), later_only=False)
+    found = ex.materialise(ex.meeting(ex.packed(docs, bits), anchors, extend, _FOUND), "substrings")
     pending = found.filter("kind = 1").select("g", "data")
     answers = ex.answered(pending.mapInArrow(send, ex.SENT), later_only=True)
     changed = ex.meeting(pending, answers, remove, _RESULT)

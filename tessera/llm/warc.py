@@ -87,7 +87,6 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, date: str |
     others revisit it; smaller ones are all responses. A row without a page_id is a response always, and nothing refers
     to it. Of rows that repeat the smallest page_id all are responses. Null URLs are empty. An empty table writes nothing.
     """
-    ex.configure(pages.sparkSession)
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n"))
@@ -136,7 +135,6 @@ def read_archive(index: DataFrame, folder: str, payloads: bool = False) -> DataF
 
     Rows are dealt by file and stretch of FILE_BYTES / 16, sorted by offset, and merged into reads of at most READ bytes.
     """
-    ex.configure(index.sparkSession)
     dealt = index.select("file", "offset", "length", F.floor(F.col("offset") / (FILE_BYTES // 16)).alias("stretch"))
     dealt = dealt.repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
 

@@ -1,15 +1,16 @@
 """The pipeline against a brute-force version, and the registered SQL on the small tables."""
 
 import hashlib
-import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from tessera.llm import mixing, queries
+from tests.llm.test_bpe import PLAIN
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -37,7 +38,7 @@ def test_run_against_brute_force(spark):
     texts = {i: t for i, t, *_ in without_lines([(i, r[0]) for i, r in rows.items()], 3)}
     own = {i: root for i, (_, root) in linked(list(texts.items())).items()}
     texts = {i: t for i, t in texts.items() if own[i] == i}
-    tokens = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in texts.items()}
+    tokens = {i: len(PLAIN.encode_ordinary(t)) for i, t in texts.items()}
 
     def domain(source: str) -> str:
         return ("web", "books", "code")[int(source[3:]) % 3]
@@ -71,9 +72,6 @@ def test_run_against_brute_force(spark):
             if capacity[path] and (before < budgets[path] - 1e-6 or budgets[path] > capacity[path] - 1e-6):
                 chosen.add(i)
             before += tokens[i]
-    import numpy as np
-    from tests.llm.test_bpe import PLAIN
-
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert set(got) == chosen
     for i, r in got.items():
