@@ -101,7 +101,7 @@ def assembled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_trees(rows: DataFrame, columns: Sequence[str], y: str = "y", weight: str | None = None, rounds: int = 20, depth: int = 5, seed: int = 42):
-    """Boosted trees on the columns. Spark's have no monotone constraints; pairs.direction lists what they would be."""
+    """Boosted trees on the columns. Spark's have no monotone constraints."""
     model = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1)
     if weight:
         model = model.setWeightCol(weight)
