@@ -4,9 +4,11 @@ A text is halved until a leaf is short; leaves are encoded on their own. Two nei
 around their border and keeping the tokens outside. The window grows until the tokens outside provably stay:
 
 * Between a character that is no white space and a white space after it the splitting pattern always ends a match, and no
-  match before looks past it. A window that begins and ends at such places changes nothing outside.
-* Within one long match (no white space near) the window grows token by token. A token sequence is the encoding of its
-  bytes exactly if each pair of neighbours encodes to itself, so the window may end where the pairs at its ends do.
+  match before looks past it. So it does between letters, digits and other characters, except after an apostrophe, which
+  may begin a match with letters. A window that begins and ends at such places changes nothing outside.
+* Within one long run of letters, of digits or of other characters the window grows token by token. A token sequence is the
+  encoding of its bytes exactly if each pair of neighbours encodes to itself, so the window may end where the pairs at its
+  ends do.
 
 Decoding concatenates the bytes of halves up the same kind of tree. Neither direction needs more memory than a text and
 its tokens; the depth is logarithmic.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,14 +30,23 @@ from tessera.llm import _exchange as ex
 
 #: Code points of a leaf when encoding, tokens of a leaf when decoding.
 LEAF = 1024
+#: Bytes of text that are encoded, and rows that are decoded, before they are passed on.
+STEP, ROWS = 1 << 20, 256
 #: White space as the pattern's \s has it, beyond what str.isspace() agrees on: fixed values.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
+#: Fixed value: the pattern whose runs of letters, digits and other characters are known to be matches of their own.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _is_space(c: str) -> bool:
     return c.isspace() and c not in _NO_SPACE
 
 
+def _kind(c: str) -> str:
+    """L, N, O: letter, digit, other; what is white space is not asked."""
+    return "L" if c.isalpha() else "N" if unicodedata.category(c)[0] == "N" else "O"
+
+
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """Ranks from a file of lines: token in base64, rank."""
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
@@ -47,6 +59,7 @@ class TreeBPE:
         import tiktoken
 
         self.leaf = max(2, leaf)
+        self.runs = pattern == RUNS
         self.sequential = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
@@ -63,44 +76,48 @@ class TreeBPE:
 
     def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
         """Tokens of text[lo:hi] from those of text[lo:mid] and text[mid:hi]."""
-        a, b, reach = mid, mid, 8
-        while True:  # windows of growing reach, to the nearest places where matches must end
-            a = self._end_before(text, max(lo, mid - reach), min(a, mid), lo)
-            b = self._end_after(text, max(b, mid), min(hi, mid + reach), hi)
-            if a >= 0 and b >= 0:
-                break
-            if reach >= 4 * self.leaf or (mid - reach <= lo and mid + reach >= hi):
-                break
-            a, b, reach = a if a >= 0 else mid, b if b >= 0 else mid, reach * 2
+        a, b = self._ends_near(text, lo, mid, hi, 64)
         if a < 0 or b < 0:
             merged = self._join_match(text, lo, mid, hi, left, right)
             if merged is not None:
                 return merged
-            a, b = max(a, lo) if a >= 0 else self._whole_before(text, lo, mid), b if b >= 0 else self._whole_after(text, mid, hi)
+            a, b = self._ends_near(text, lo, mid, hi, 4 * self.leaf)
+            a, b = a if a >= 0 else self._end_before(text, lo, mid, lo), b if b >= 0 else self._end_after(text, mid, hi, hi)
         window = self.sequential.encode_ordinary(text[a:b])
         keep_left = self._tokens_from_end(left, len(text[a:mid].encode()))
         keep_right = self._tokens_from_start(right, len(text[mid:b].encode()))
         return left[: len(left) - keep_left] + window + right[keep_right:]
 
+    def _ends_near(self, text: str, lo: int, mid: int, hi: int, most: int) -> tuple[int, int]:
+        """The nearest places around mid where matches must end, in windows of growing reach; -1 where there is none."""
+        a, b, reach = mid, mid, 8
+        while True:
+            a = self._end_before(text, max(lo, mid - reach), min(a, mid), lo)
+            b = self._end_after(text, max(b, mid), min(hi, mid + reach), hi)
+            if (a >= 0 and b >= 0) or reach >= most or (mid - reach <= lo and mid + reach >= hi):
+                return a, b
+            a, b, reach = a if a >= 0 else mid, b if b >= 0 else mid, reach * 2
+
+    def _ends(self, text: str, p: int) -> bool:
+        """Whether a match must end before text[p], whatever stands around."""
+        before, after = text[p - 1], text[p]
+        if _is_space(before) or _is_space(after):
+            return _is_space(after) and not _is_space(before)
+        return self.runs and _kind(before) != _kind(after) and not (before == "'" and after.isalpha())
+
     def _end_before(self, text: str, lo: int, start: int, bound: int) -> int:
         """The last p in (lo, start] where a match must end, bound if lo reaches it, else -1."""
         for p in range(start, lo, -1):
-            if p < len(text) and p - 1 >= bound and _is_space(text[p]) and not _is_space(text[p - 1]) and p > bound:
+            if bound < p < len(text) and self._ends(text, p):
                 return p
         return bound if lo <= bound else -1
 
     def _end_after(self, text: str, start: int, hi: int, bound: int) -> int:
         for p in range(start, hi):
-            if p > 0 and _is_space(text[p]) and not _is_space(text[p - 1]):
+            if p > 0 and self._ends(text, p):
                 return p
         return bound if hi >= bound else -1
 
-    def _whole_before(self, text: str, lo: int, mid: int) -> int:
-        return self._end_before(text, lo, mid, lo)
-
-    def _whole_after(self, text: str, mid: int, hi: int) -> int:
-        return self._end_after(text, mid, hi, hi)
-
     def _join_match(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int] | None:
         """Joins inside one long match, token by token; None if the characters around the border are not of one class."""
         k = 2
@@ -116,9 +133,12 @@ class TreeBPE:
         return None
 
     def _one_match(self, text: str, lo: int, mid: int, hi: int, n_left: int, n_right: int) -> bool:
-        """Whether the characters around the border are letters alone, without an apostrophe that could begin a match."""
+        """Whether the characters around the border are of one kind, so that they are part of one match."""
         around = text[max(lo, mid - n_left) : min(hi, mid + n_right)]
-        return around.isalpha()
+        if around.isalpha():
+            return True
+        kind = _kind(around[0])
+        return self.runs and all(not _is_space(c) and _kind(c) == kind for c in around)
 
     def _stays(self, a: int, b: int) -> bool:
         known = self._pairs.get((a, b))
@@ -160,7 +180,8 @@ def _coder(key: tuple, data: bytes) -> TreeBPE:
     return _LOADED[key]
 
 
-def _with_coder(docs: DataFrame, ranks_path: str, pattern: str | None, leaf: int, schema, each: Callable) -> DataFrame:
+def _with_coder(docs: DataFrame, ranks_path: str, pattern: str | None, leaf: int, schema, each: Callable, sized_by: str | None = "text") -> DataFrame:
+    """each(coder, batch) over batches of about STEP bytes in the column sized_by, or of ROWS rows."""
     if pattern is None:
         import public_tokenizers
 
@@ -172,8 +193,12 @@ def _with_coder(docs: DataFrame, ranks_path: str, pattern: str | None, leaf: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(key, ranks.value)
-        for batch in batches:
-            yield each(coder, batch)
+        if sized_by:
+            parts = (t.combine_chunks().to_batches()[0] for t in ex.flushes(batches, sized_by, STEP))
+        else:
+            parts = (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS))
+        for part in parts:
+            yield each(coder, part)
 
     return docs.mapInArrow(run, schema)
 
@@ -211,7 +236,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str | None = None, leaf:
         out = [coder.decode(i or []) for i in batch.column("ids").to_pylist()]
         return pa.record_batch({"doc_id": batch.column("doc_id"), "decoded": pa.array(out, pa.binary())})
 
-    return _with_coder(tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")), ranks_path, pattern, leaf, "doc_id long, decoded binary", each)
+    return _with_coder(tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")), ranks_path, pattern, leaf, "doc_id long, decoded binary", each, sized_by=None)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str | None = None, leaf: int = LEAF) -> DataFrame:

@@ -42,6 +42,26 @@ def test_a_long_word_and_a_long_run():
         assert coder.encode(text) == PLAIN.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789", "!?#*$%&|", "abc0123", "ab'12.!", "é中9٣a'"])
+def test_runs_are_joined_where_they_are_cut(alphabet):
+    """Long runs without white space: the same tokens, and little more text than the run goes to the sequential encoder."""
+    rnd = random.Random(2)
+    text = "".join(rnd.choice(alphabet) for _ in range(60_000))
+    coder = bpe.TreeBPE(RANKS, public_tokenizers.PATTERN)
+    asked = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(PLAIN, name)
+
+        def encode_ordinary(self, part):
+            asked.append(len(part))
+            return PLAIN.encode_ordinary(part)
+
+    coder.sequential = Counting()
+    assert coder.encode(text) == PLAIN.encode_ordinary(text) and sum(asked) < 1.5 * len(text)
+
+
 def test_operators(spark):
     rows = [(1, "Hello  world's 12\n"), (None, None), (3, ""), (3, "naïve 中文 😀 " * 400), (4, "<|endoftext|>")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids string")
