@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-A table hashes a unit vector v by floor((a.v + b) / width) for a few Gaussian directions a; its bucket is the tuple. A query
-visits, in each table, its own bucket and perturbed ones (one step up or down in some of the functions), in the order of
-their estimated success: the smaller the squared distances to the crossed borders, the earlier. Candidates of all tables
-are merged and ranked by their exact cosines in double precision.
-
-Buckets are dealt out in parts of at most PART vectors; a task streams a part's candidates past the queries that visit it and
-keeps each query's best few, so that no list of pairs is made. Of equal vectors only the k + 1 smallest ids can be among a
-query's nearest, so a much repeated vector does not swell its bucket.
+A table hashes a unit vector v by floor((a.v + b) / width) for a few Gaussian directions a, made orthogonal to each other so
+that none repeats what another tells; its bucket is the tuple. A query visits, in each table, its own bucket and perturbed
+ones (one step up or down in some of the functions), in the order of their estimated success: the smaller the squared
+distances to the crossed borders, the earlier. Candidates of all tables are merged and ranked by their exact cosines in
+double precision.
+
+A visit is a bucket's key and a query's id. Buckets of more than PART vectors are dealt out in parts, and parts are gathered in
+cells, whose number follows from the visits; a query's vector goes to each cell once, with the parts that it visits there. A
+task streams a part's members past these queries and keeps each query's best few, so that no list of pairs is made. Of equal
+vectors only the k + 1 smallest ids can be among a query's nearest, so a much repeated vector does not swell its bucket.
 """
 
 from __future__ import annotations
@@ -24,14 +26,19 @@ from pyspark.sql.window import Window
 from tessera.llm import _exchange as ex
 from tessera.llm._text import mix
 
-TABLES, FUNCTIONS, WIDTH, PROBES = 6, 4, 1.2, 40
-PART = 4096
+TABLES, FUNCTIONS, WIDTH, PROBES = 10, 8, 1.8, 200
+#: Members of a bucket that form a part, visits that a cell is meant to get, queries whose probes are ordered together.
+PART, CELL_VISITS, STEP = 4096, 1 << 16, 64
 _FOUND = "query_id long, vec_id long, score double"
 
 
 def _directions(table: int, dim: int, functions: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gaussian directions, orthogonal where the dimension allows it (then as long as Gaussian ones are on average), and offsets."""
     rng = np.random.default_rng([seed, table, dim])
-    return rng.normal(size=(functions, dim)), rng.uniform(0, width, functions)
+    a = rng.normal(size=(functions, dim))
+    if functions <= dim:
+        a = np.linalg.qr(a.T)[0].T * np.sqrt(dim)
+    return a, rng.uniform(0, width, functions)
 
 
 def _bucket(table: int, dim: int, cells: np.ndarray) -> np.ndarray:
@@ -70,28 +77,28 @@ def index(vectors: DataFrame, tables: int = TABLES, functions: int = FUNCTIONS,
 
 
 def probes(queries: DataFrame, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, n_probes: int = PROBES, seed: int = 7) -> DataFrame:
-    """(key, vec_id, v): each query under the buckets it visits, n_probes in each table."""
+    """(key, vec_id): the buckets that each query visits, n_probes in each table."""
     steps = np.array(list(itertools.product((0, -1, 1), repeat=functions)))
+    up, down = (steps == 1).astype(float), (steps == -1).astype(float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in _vectors(batch):
                 x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                own = batch.take(pa.array(rows))
+                ids = batch.column("vec_id").to_numpy()[rows]
                 for t in range(tables):
                     a, b = _directions(t, x.shape[1], functions, width, seed)
                     place = (x @ a.T + b) / width
-                    cell = np.floor(place)
-                    up = 1 - (place - cell)
-                    cost = np.zeros((len(rows), len(steps)))
-                    for j in range(functions):
-                        cost += np.where(steps[:, j] == 1, up[:, j, None] ** 2, np.where(steps[:, j] == -1, (1 - up[:, j, None]) ** 2, 0))
-                    order = np.argsort(cost, axis=1, kind="stable")[:, :n_probes]
-                    for k in range(order.shape[1]):
-                        key = _bucket(t, x.shape[1], cell + steps[order[:, k]])
-                        yield pa.record_batch({"key": pa.array(key), "vec_id": own.column("vec_id"), "v": own.column("v")})
+                    for at in range(0, len(ids), STEP):
+                        cell = np.floor(place[at : at + STEP])
+                        above = place[at : at + STEP] - cell
+                        cost = ((1 - above) ** 2) @ up.T + (above**2) @ down.T
+                        order = np.argsort(cost, axis=1, kind="stable")[:, :n_probes]
+                        cells = (cell[:, None, :] + steps[order]).reshape(-1, functions)
+                        key = _bucket(t, x.shape[1], cells)
+                        yield pa.record_batch({"key": pa.array(key), "vec_id": pa.array(np.repeat(ids[at : at + STEP], order.shape[1]))})
 
-    return queries.select("vec_id", "v").mapInArrow(run, "key long, vec_id long, v array<double>")
+    return queries.select("vec_id", "v").mapInArrow(run, "key long, vec_id long")
 
 
 def _cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -100,13 +107,19 @@ def _cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (q * c).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((c * c).sum(axis=1)))
 
 
-def _scan(visits: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): in each part of a bucket the k nearest members of each query that visits it."""
+def _scan(visits: DataFrame, queries: DataFrame, members: DataFrame, k: int, n_cells: int) -> DataFrame:
+    """(query_id, vec_id, score): in each part of a bucket the k nearest members of each query that visits it.
+
+    visits: key, vec_id; queries: vec_id, v; members: key, vec_id, v.
+    """
     parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    right = members.join(parts, "key").select("key", F.pmod(F.xxhash64("vec_id"), "parts").alias("part"), F.lit(1).alias("turn"), "vec_id", "v")
+    cell = F.pmod(F.xxhash64("key", "part"), F.lit(n_cells)).alias("cell")
+    right = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts"))
+    right = right.select(cell, F.lit(1).alias("turn"), "key", "part", "vec_id", "v", F.lit(None).cast("array<struct<key:long,part:long>>").alias("to"))
     left = visits.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = right.unionByName(left.select("key", "part", F.lit(0).alias("turn"), "vec_id", "v"))
-    dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "turn")
+    left = left.groupBy(cell, "vec_id").agg(F.collect_list(F.struct("key", "part")).alias("to"))  # at most a query's visits
+    left = left.join(queries, "vec_id").select("cell", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("part"), "vec_id", "v", "to")
+    dealt = right.unionByName(left).repartition("cell").sortWithinPartitions("cell", "turn", "key", "part")
 
     def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
         unit = lambda x: x / np.sqrt((x * x).sum(axis=1))[:, None]
@@ -131,24 +144,28 @@ def _scan(visits: DataFrame, members: DataFrame, k: int) -> DataFrame:
         return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, ids, vectors = None, [], []  # the queries of the part at hand
+        name, ids, vectors = None, [], []  # the queries of the cell at hand, CELL_VISITS or so at most
+        visitors: dict[tuple[int, int], list[int]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, part, turn, vec_id = (batch.column(c).to_numpy() for c in ("key", "part", "turn", "vec_id"))
+            cells, turn, key, part, vec_id = (batch.column(c).to_numpy() for c in ("cell", "turn", "key", "part", "vec_id"))
             lists = batch.column("v")
             off, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            change = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (turn[1:] != turn[:-1])]
+            change = np.r_[True, (cells[1:] != cells[:-1]) | (turn[1:] != turn[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
             begins = np.r_[np.flatnonzero(change), len(key)]
             for lo, hi in zip(begins[:-1], begins[1:], strict=True):
-                x = values[off[lo] : off[hi]].reshape(hi - lo, -1)
-                if (key[lo], part[lo]) != name:
-                    name, ids, vectors = (key[lo], part[lo]), [], []
+                if cells[lo] != name:
+                    name, ids, vectors, visitors = cells[lo], [], [], {}
                 if turn[lo] == 0:
-                    ids.append(vec_id[lo:hi])
-                    vectors.append(x)
-                elif ids:
-                    yield best(np.concatenate(ids), np.concatenate(vectors), vec_id[lo:hi], x)
+                    for i in range(lo, hi):
+                        for to in batch.column("to")[i].as_py():
+                            visitors.setdefault((to["key"], to["part"]), []).append(len(ids))
+                        ids.append(vec_id[i])
+                        vectors.append(values[off[i] : off[i + 1]].copy())
+                elif own := visitors.get((int(key[lo]), int(part[lo]))):
+                    x = values[off[lo] : off[hi]].reshape(hi - lo, -1)
+                    yield best(np.array([ids[i] for i in own]), np.stack([vectors[i] for i in own]), vec_id[lo:hi], x)
 
     return dealt.mapInArrow(run, _FOUND)
 
@@ -164,8 +181,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABL
 
     vectors: vec_id long, embedding array of numbers, others ignored. Candidates are all rows but those with the query's
     own vec_id. Rows with a null vec_id or embedding, or an embedding that is empty, zero or holds null or non-finite
-    components take no part. Only vectors of one length are compared. Equal rows count once. Queries that find fewer than
-    k in their buckets are compared with all rows, in blocks, so that small tables give all they have.
+    components take no part. Only vectors of one length are compared. Equal rows count once; of rows that repeat a vec_id with
+    other vectors each is searched, and the best score of a pair of ids counts. Queries that find fewer than k in their
+    buckets are compared with all rows, in blocks, so that small tables give all they have. Other columns may have any
+    name; an empty table gives an empty result.
     """
     v = F.col("embedding").cast("array<double>")
     valid = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -177,17 +196,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABL
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     members = ex.materialise(rows.select("vec_id", "v", place.alias("place")).filter(F.col("place") <= k + 1).drop("place"), "members")
 
-    found = _scan(probes(queries, tables, functions, width, n_probes, seed), index(members, tables, functions, width, seed), k)
+    least = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_cells = max(least, -(-queries.count() * tables * n_probes // CELL_VISITS))  # one number
+    visits = probes(queries, tables, functions, width, n_probes, seed)
+    found = _scan(visits, queries, index(members, tables, functions, width, seed), k, n_cells)
     top = ex.materialise(_first(found, k), "nearest")
     enough = top.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id")).distinct()
-    short = queries.join(enough, "vec_id", "left_anti")
-    if short.limit(1).count():
+    short = ex.materialise(queries.join(enough, "vec_id", "left_anti"), "short", small=True)
+    n_short = short.count()
+    if n_short:  # the exact way: all rows, in blocks of PART
         size = F.size("v").cast("long")
-        n_blocks = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        n_blocks = max(least, -(-members.count() // PART))
         block = lambda c: F.xxhash64(size, c)
         members = members.withColumn("key", block(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))))
         visits = short.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).withColumn("key", block(F.col("b")))
-        more = _scan(visits.select("key", "vec_id", "v"), members.select("key", "vec_id", "v"), k)
+        more = _scan(visits.select("key", "vec_id"), short, members.select("key", "vec_id", "v"), k, max(least, -(-n_short * n_blocks // CELL_VISITS)))
         top = top.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(_first(more, k))
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
