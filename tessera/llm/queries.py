@@ -17,5 +17,5 @@ _MODULES = {
     "op10_pii_weak_supervision": pii,
 }
 
-QUERIES = {name: m.query for name, m in _MODULES.items()} | {"pipeline": pipeline.run, "op8_lm_backoff_order3": lm.query3}
-SQL = {name: m.SQL for name, m in _MODULES.items() if m.SQL} | {"op8_lm_backoff_order3": lm.SQL3}
+QUERIES = {name: m.query for name, m in _MODULES.items()} | {"pipeline": pipeline.run}
+SQL = {name: m.SQL for name, m in _MODULES.items() if m.SQL}
