@@ -12,7 +12,9 @@ Groups of copies may be huge, and all their pairs are never listed:
   takes connected components.
 * Round 2 looks again at keys whose members are still in different components, compares signatures across components in
   bounded blocks, and confirms each pair that is near enough, once. Pairs inside a component need no look: they are
-  connected. So no link between components is lost to the stars.
+  connected. So no link between components is lost to the stars. Members of a key's largest component don't meet each other,
+  nor do sets whose sizes differ by more than the threshold allows; of n members that are in components of their own and of
+  like size, as unlike texts around one long boilerplate, still all pairs of signatures are compared.
 
 Before two sets are compared in full, bitmaps of the sets bound their intersection from above: each bit that one has alone
 stands for a shingle that the other lacks. What the bound rules out is no link for certain, so of a group of half-similar
@@ -23,6 +25,7 @@ Components are found by alternating large and small stars over tables in the sha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,8 @@ SYMBOLS = CHUNKS * WIDTH
 LEAST_EQUAL = 20
 #: Members of a star, and of a block of round 2, that one task holds together.
 STAR_PART, BLOCK = 256, 1024
+#: Logarithm of the ratio of sizes within a band; a little more than that of 4 / 3, beyond which sets are never linked.
+BAND = math.log(4 / 3) * (1 + 1e-9)
 #: A class of copies is hot from this fraction of all rows on.
 HOT = 1000
 
@@ -233,26 +238,42 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         after = ex.materialise(small, "stars", small=True)
-        stars = after.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() == 0
-        if stars and after.join(after.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() == 0:
+        # done if each id points to one other, and none of these points on
+        ends = after.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("begins")), F.struct(F.col("b").alias("id"), F.lit(0).alias("begins")))).alias("e"))
+        ends = ends.groupBy("e.id").agg(F.sum("e.begins").alias("n"), F.min("e.begins").alias("only"))
+        if ends.filter("n > 1 OR (n = 1 AND only = 0)").limit(1).count() == 0:
             break
         edges = after
     return after.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(after.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels after these links between their components; a small graph, of the components that the links join."""
+    named = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
+    ends = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    every = ends.select(F.col("a").alias("id"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("id"), F.col("lb").alias("label"))).unionByName(labels.select("id", "label")).distinct()
+    return every.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+
+
 def _across(hits: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of near signatures whose ends share a key and are in different components, each once."""
     own = reps.select("a", "n_shingles", "symbols", "bits").join(labels.withColumnRenamed("id", "a"), "a", "left")
-    own = own.withColumn("label", F.coalesce("label", "a"))
-    named = hits.join(own.select("a", "label"), "a")
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("p"))
-    rows = hits.join(mixed, "key").join(own, "a")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("a"), "p").cast("int"))
-    # a member of block i meets the pairs of blocks (i, j) and (j, i) for all j
-    rows = rows.withColumn("j", F.explode(F.expr("sequence(0, p - 1)"))).select(
-        "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("block"), "a", "label", "n_shingles", "symbols", "bits"
-    )
+    own = own.withColumn("label", F.coalesce("label", "a")).withColumn("band", F.floor(F.log("n_shingles") / BAND).cast("long"))
+    named = hits.join(own.select("a", "label", "band"), "a")
+    # members of a key's largest component need not meet each other; sets that may be linked are in the same band or in neighbouring ones
+    per = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("major")).filter("labels > 1").select("key", "major")
+    rows = named.join(mixed, "key").select("key", "a", "band", (F.col("label") == F.col("major")).cast("long").alias("is_major"))
+    sizes = rows.groupBy("key", "is_major", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    cell = lambda i: (F.col("is_major") * (1 << 24) + F.col("band")) * (1 << 32) + i
+    cells = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.select("key", F.col("is_major").alias("other_major"), F.col("band").alias("other_band"), cell(F.col("i")).alias("other"))
+    rows = rows.join(sizes, ["key", "is_major", "band"]).withColumn("block", cell(F.pmod(F.xxhash64("a"), F.col("parts"))))
+    # a member goes to each pair of its cell with another one, or with itself, that may hold links across components
+    rows = rows.join(cells, "key").filter("abs(band - other_band) <= 1 AND is_major + other_major < 2")
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a")
+    rows = rows.join(own.drop("band"), "a").select("key", "lo", "hi", "block", "a", "label", "n_shingles", "symbols", "bits")
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "a")
 
     def pairs_of(table: pa.Table) -> pa.RecordBatch:
@@ -338,7 +359,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     second = _across(hits.select("key", "a"), labels, reps).distinct().join(first, ["a", "b"], "left_anti")
     more = ex.materialise(confirm(ex.materialise(second, "across"), texts, percent), "links", small=True)
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        labels = _merged(labels, more)
 
     label = classes.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").select("set_hash", "copies", F.coalesce("label", "a").alias("label"))
     rows = sketches.select("doc_id", "n_shingles", "set_hash")
