@@ -118,7 +118,8 @@ def group_bits(docs: DataFrame, target: int = GROUP_BYTES, column: str = "text")
     if not n:
         return 0
     rows = max(1.0, target * n / max(size or 0, n))  # rows that make up a group
-    density = max(n / 1000 / (hi - lo + 1) for lo, hi in zip(at[:-1], at[1:], strict=True))
+    first = [i for i in range(len(at)) if i == 0 or at[i] > at[i - 1]]
+    density = max(((j - i) * n / 1000 / (at[j] - at[i]) for i, j in zip(first[:-1], first[1:], strict=True)), default=1.0)
     return min(62, max(0, round(math.log2(rows / min(density, 1.0)))))
 
 
@@ -140,6 +141,16 @@ def sorted_values(blob: bytes) -> np.ndarray:
     return np.cumsum(unplanes(blob), dtype=np.uint64)
 
 
+def small(values: np.ndarray) -> bytes:
+    """Numbers that are mostly small, compressed."""
+    return len(values).to_bytes(8, "little") + pa.compress(planes(values.astype(np.int64)), codec="zstd", asbytes=True)
+
+
+def unsmall(blob) -> np.ndarray:
+    n = int.from_bytes(bytes(blob[:8]), "little")
+    return unplanes(pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
+
+
 def cuts(sorted_hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets present in sorted hashes, and where each begins, with the end at last."""
     which = ((sorted_hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)

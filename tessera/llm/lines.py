@@ -125,8 +125,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Nulls, empty and long texts, ties, repeated rows, empty tables and other columns: as in dedup_lines. No row goes.
     """
-    out = dedup_lines(docs)
-    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), "doc_id", "text")
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return dedup_lines(rows).select(*(fresh.get(c, F.col("_all").getField(c)).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _exchange as ex
 
-#: Parts that the pages of one digest are dealt into, so that a hot payload is no single task's work.
-SALTS = 16
+#: Pages of one payload that a task gets; a more frequent payload is dealt out.
+PART_PAGES = 20_000
+#: Bytes of payload that are read before they are passed on.
+STEP = 4 << 20
 FILE_BYTES = 64 << 20
 #: A read ends where the next record is further away than GAP, or would make it longer than READ.
 GAP, READ = 64 << 10, 4 << 20
@@ -90,9 +92,11 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, date: str |
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(0))), F.lit(SALTS)))
-    first = (rows.filter((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).filter("k > 1")
-             .select("sha", "n", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")))
+    several = rows.filter((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).filter("k > 1")
+    several = ex.materialise(several, "payloads", small=True)
+    salts = max(1, -(-(several.agg(F.max("k")).first()[0] or 0) // PART_PAGES))  # one number
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(0))), F.lit(salts)))
+    first = several.select("sha", "n", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     typed = rows.join(first, ["sha", "n", "salt"], "left").select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +161,7 @@ def read_archive(index: DataFrame, folder: str, payloads: bool = False) -> DataF
         for batch in batches:
             files, offsets, lengths = batch.column("file").to_pylist(), batch.column("offset").to_numpy(), batch.column("length").to_numpy()
             rows: list[tuple] = []
-            at = 0
+            at = size = 0
             while at < len(files):
                 to = at
                 while to < len(files) and files[to] == files[at]:
@@ -170,11 +174,18 @@ def read_archive(index: DataFrame, folder: str, payloads: bool = False) -> DataF
                     row = (number("x-page-id"), warc["warc-target-uri"], warc["warc-type"], number("x-refers-to-page-id"), int(http["content-length"]), digest,
                            revisit or payload_digest(payload) == digest)
                     rows.append((*row, None if revisit else payload) if payloads else row)
+                    size += len(payload) if payloads else 0
+                    if size >= STEP:
+                        yield as_batch(rows)
+                        rows, size = [], 0
                 at = to
             if rows:
-                types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
-                names = [*(x.split()[0] for x in _READ.split(", ")), "payload"]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names[: len(rows[0])])
+                yield as_batch(rows)
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+        names = [*(x.split()[0] for x in _READ.split(", ")), "payload"]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names[: len(rows[0])])
 
     return dealt.mapInArrow(read, _READ + (", payload binary" if payloads else ""))
 

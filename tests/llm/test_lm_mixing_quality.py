@@ -31,30 +31,31 @@ def scores(rows):
 
 def test_scores(spark):
     rows = [(1, "a b c a b"), (2, "a b d"), (600, "b c  b\nc"), (None, "a b c"), (None, "z"), (7, None), (8, ""), (-4, " "), (2, "a b d"), (9, "the cat " * 3000)]
-    got = lm.score(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, counts int").repartition(3)).collect()
+    got = lm.score(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, counts int").repartition(3), order=2).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_backoff"], round(r["log_score"], 8)) for r in got), key=str) == scores(rows)
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     alone = lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first()
     assert alone["n_backoff"] == 2 and alone["log_score"] == pytest.approx(math.log(0.4))
 
 
-def test_scores_of_three_words(spark):
-    rows = [(1, "a b c d"), (2, "a b c e"), (3, "x b c b"), (4, "a b z"), (5, None), (6, "q")]
+@pytest.mark.parametrize("order", [3, 4])
+def test_scores_of_more_words(spark, order):
+    rows = [(1, "a b c d"), (2, "a b c e"), (3, "x b c b"), (4, "a b z"), (5, None), (6, "q"), (700, "x b c d a b c d")]
     docs = {i: (t or "").split() for i, t in rows}
-    n = {i: Counter(tuple(d[k - m : k + 1]) for m in range(3) for k in range(m, len(d))) for i, d in docs.items()}
+    n = {i: Counter(tuple(d[k - m : k + 1]) for m in range(order) for k in range(m, len(d))) for i, d in docs.items()}
 
     def one(i: int) -> tuple:
         others = sum((c for j, c in n.items() if j != i), Counter())
         size, total, back = max(sum(len(d) for j, d in docs.items() if j != i), 1), 0.0, 0
         for k, w in enumerate(docs[i]):
-            longest = min(k, 2)
+            longest = min(k, order - 1)
             m = next((m for m in range(longest, 0, -1) if others[tuple(docs[i][k - m : k + 1])]), 0)
             gram = tuple(docs[i][k - m : k + 1])
             total += math.log(others[gram] / others[gram[:-1]] if m else max(others[(w,)], 1) / size) + (longest - m) * math.log(0.4)
-            back += m < 2
+            back += m < order - 1
         return (i, len(docs[i]), back, round(total, 8))
 
-    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), order=3).collect()
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), order=order).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_backoff"], round(r["log_score"], 8)) for r in got) == [one(i) for i, _ in rows]
 
 
