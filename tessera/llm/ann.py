@@ -29,6 +29,8 @@ from tessera.llm._text import mix
 TABLES, FUNCTIONS, WIDTH, PROBES = 10, 8, 1.8, 200
 #: Members of a bucket that form a part, visits that a cell is meant to get, queries whose probes are ordered together.
 PART, CELL_VISITS, STEP = 4096, 1 << 16, 64
+#: Candidates of a cell that are held before each query's first k are picked.
+FOUND = 1 << 20
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -121,31 +123,40 @@ def _scan(visits: DataFrame, queries: DataFrame, members: DataFrame, k: int, n_c
     left = left.join(queries, "vec_id").select("cell", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("part"), "vec_id", "v", "to")
     dealt = right.unionByName(left).repartition("cell").sortWithinPartitions("cell", "turn", "key", "part")
 
-    def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+    def best(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in own, member, score) of all that may be among the first k members of each query; own: the queries' ids."""
         unit = lambda x: x / np.sqrt((x * x).sum(axis=1))[:, None]
         scaled = lambda x: unit(x / np.abs(x).max(axis=1)[:, None])
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at in range(0, len(query_ids), 256):
-            qi, q = query_ids[at : at + 256], queries[at : at + 256]
-            rough = scaled(q) @ scaled(vectors).T
-            rough[qi[:, None] == ids[None, :]] = -np.inf
-            if rough.shape[1] > k:  # the exact cosines decide among all that may be in the first k
-                limit = -np.partition(-rough, k - 1, axis=1)[:, k - 1] - 1e-12
-                i, j = np.nonzero(rough >= np.maximum(limit, -2)[:, None])
-            else:
-                i, j = np.nonzero(rough > -2)
-            score = _cosines(q[i], vectors[j])
-            order = np.lexsort((ids[j], -score, i))
-            i, j, score = i[order], j[order], score[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            top = place < k
-            out.append((qi[i[top]], ids[j[top]], score[top]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+        rough = scaled(queries) @ scaled(vectors).T
+        rough[own[:, None] == ids[None, :]] = -np.inf
+        if rough.shape[1] > k:  # the exact cosines decide
+            limit = -np.partition(-rough, k - 1, axis=1)[:, k - 1] - 1e-12
+            i, j = np.nonzero(rough >= np.maximum(limit, -2)[:, None])
+        else:
+            i, j = np.nonzero(rough > -2)
+        return i, ids[j], _cosines(queries[i], vectors[j])
+
+    def reduced(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's first k of what was found, a member once."""
+        q, i, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((-score, i, q))
+        q, i, score = q[order], i[order], score[order]
+        once = np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])] if len(q) else np.zeros(0, bool)
+        q, i, score = q[once], i[once], score[once]
+        order = np.lexsort((i, -score, q))
+        q, i, score = q[order], i[order], score[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[top], i[top], score[top]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, ids, vectors = None, [], []  # the queries of the cell at hand, CELL_VISITS or so at most
         visitors: dict[tuple[int, int], list[int]] = {}
+        found, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            q, i, score = reduced(found)
+            return pa.record_batch([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -156,7 +167,9 @@ def _scan(visits: DataFrame, queries: DataFrame, members: DataFrame, k: int, n_c
             begins = np.r_[np.flatnonzero(change), len(key)]
             for lo, hi in zip(begins[:-1], begins[1:], strict=True):
                 if cells[lo] != name:
-                    name, ids, vectors, visitors = cells[lo], [], [], {}
+                    if found:
+                        yield out()
+                    name, ids, vectors, visitors, found, size = cells[lo], [], [], {}, [], 0
                 if turn[lo] == 0:
                     for i in range(lo, hi):
                         for to in batch.column("to")[i].as_py():
@@ -165,7 +178,17 @@ def _scan(visits: DataFrame, queries: DataFrame, members: DataFrame, k: int, n_c
                         vectors.append(values[off[i] : off[i + 1]].copy())
                 elif own := visitors.get((int(key[lo]), int(part[lo]))):
                     x = values[off[lo] : off[hi]].reshape(hi - lo, -1)
-                    yield best(np.array([ids[i] for i in own]), np.stack([vectors[i] for i in own]), vec_id[lo:hi], x)
+                    for at in range(0, len(own), 256):
+                        some = own[at : at + 256]
+                        mine = np.array([ids[i] for i in some])
+                        i, member, score = best(np.stack([vectors[i] for i in some]), mine, vec_id[lo:hi], x)
+                        found.append((mine[i], member, score))
+                        size += len(i)
+                    if size > FOUND:
+                        found = [reduced(found)]
+                        size = len(found[0][0])
+        if found:
+            yield out()
 
     return dealt.mapInArrow(run, _FOUND)
 
