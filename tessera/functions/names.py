@@ -70,6 +70,12 @@ def _legal(parsed: Column) -> Column:
     return F.when(parsed["domain"], F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(split)))
 
 
+def split_legal(words: Column) -> Column:
+    """struct of core (without legal forms and stop words) and legal (the legal forms, sorted) of a name's words."""
+    parsed = F.struct(F.lit(False).alias("domain"), words.alias("words"))
+    return let(parsed, lambda p: F.struct(_core(p).alias("core"), _legal(p).alias("legal")))
+
+
 def _full(parsed: Column) -> Column:
     return F.when(parsed["domain"], parsed["words"]).otherwise(F.filter(parsed["words"], lambda w: ~among(tables.NAME_DROP, w) | among(tables.LEGAL, w)))
 

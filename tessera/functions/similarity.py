@@ -100,21 +100,28 @@ def prefix_ratio(a: Column, b: Column) -> Column:
 
 def trigrams(s: Column) -> Column:
     """One gram for each character, with ^ before the first and $ after the last."""
-    padded = F.concat(F.lit("^"), s, F.lit("$"))
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substr(padded, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    # by an array of the characters: a substring of a long string is counted out from its beginning each time
+    gram = lambda cs, i: F.concat(F.get(cs, i), F.get(cs, i + 1), F.get(cs, i + 2))
+    grams = let(F.split(F.concat(F.lit("^"), s, F.lit("$")), ""), lambda cs: F.transform(F.sequence(F.lit(0), F.size(cs) - 3), lambda i: gram(cs, i)))
+    return F.when(F.length(s) > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
-def tri_dice(a: Column, b: Column) -> Column:
-    """2 * shared / all trigrams, as multisets: grams are numbered by their occurrences, then compared as sets. 0 if one is empty."""
+def numbered_trigrams(s: Column) -> Column:
+    """The trigrams, each with the number of its occurrence, so that multisets can be intersected as sets: ab, ab -> ab1, ab2."""
+    # sorted grams as one string, cut into runs of the same gram by a regex, and each run numbered again
+    runs = F.regexp_extract_all(F.concat(F.array_join(F.sort_array(trigrams(s)), "\x01"), F.lit("\x01")), F.lit("(?s)(...\\x01)\\1*"), F.lit(0))
+    of_run = lambda r: F.transform(F.sequence(F.lit(1), (F.length(r) / 4).cast("int")), lambda k: F.concat(F.substring(r, 1, 3), k.cast("string")))
+    return F.flatten(F.transform(runs, of_run))
+
 
-    def numbered(grams: Column) -> Column:
-        # sorted grams as one string, cut into runs of the same gram by a regex, and each run numbered again
-        runs = F.regexp_extract_all(F.concat(F.array_join(F.sort_array(grams), "\x01"), F.lit("\x01")), F.lit("(?s)(...\\x01)\\1*"), F.lit(0))
-        of_run = lambda r: F.transform(F.sequence(F.lit(1), (F.length(r) / 4).cast("int")), lambda k: F.concat(F.substring(r, 1, 3), k.cast("string")))
-        return F.flatten(F.transform(runs, of_run))
+def dice_of_grams(a: Column, b: Column) -> Column:
+    """2 * shared / all of two arrays of numbered trigrams; 0 if one is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).otherwise(0.0)
 
-    shared = F.size(F.array_intersect(numbered(trigrams(a)), numbered(trigrams(b))))
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), 2.0 * shared / (F.length(a) + F.length(b))).otherwise(0.0)
+
+def tri_dice(a: Column, b: Column) -> Column:
+    """dice_of_grams of two strings; where a record is in many pairs, numbered_trigrams is better made once a record."""
+    return dice_of_grams(numbered_trigrams(a), numbered_trigrams(b))
 
 
 # ---------------------------------------------------------------- sets
@@ -169,11 +176,11 @@ def acronym(initials_a: Column, core_a: Column, initials_b: Column, core_b: Colu
 
 
 def fuzzy_numbers(x: Column, y: Column) -> Column:
-    """Whether the shorter of two different numbers from 10 on begins or ends the longer one's digits (as a number: 05 is 5)."""
-    lo, hi = F.least(x, y), F.greatest(x, y)
-    power = F.rpad(F.lit("1"), F.length(lo.cast("string")) + 1, "0").cast("long")
-    cut = F.rpad(F.lit("1"), F.length(hi.cast("string")) - F.length(lo.cast("string")) + 1, "0").cast("long")
-    return (x != y) & (lo >= 10) & ((hi % power == lo) | (F.floor(hi / cut) == lo))
+    """Whether one of two different numbers from 10 on begins or ends the other's digits (as a number: 05 is 5). Numbers or digit
+    strings without leading zeros."""
+    a, b = x.cast("string"), y.cast("string")
+    lo, hi = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    return (a != b) & (F.length(lo) >= 2) & (F.startswith(hi, lo) | F.endswith(hi, lo))
 
 
 def near_number(x: Column, y: Column) -> Column:
@@ -194,16 +201,17 @@ def one_deleted(x: Column, y: Column) -> Column:
     return (F.abs(F.length(a) - F.length(b)) == 1) & (F.least(F.length(a), F.length(b)) >= 2) & (F.levenshtein(a, b) == 1)
 
 
-def any_pair(a: Column, b: Column, test: Callable[[Column, Column], Column], least: int = 0) -> Column:
-    """Whether some pair of different numbers from `least` on passes the test; null if a side has none."""
-    found = F.exists(a, lambda x: F.exists(b, lambda y: (x != y) & (x >= least) & (y >= least) & test(x, y)))
+def any_pair(a: Column, b: Column, test: Callable[[Column, Column], Column], digits: int = 1) -> Column:
+    """Whether some pair of different numbers of so many digits at least passes the test; null if a side has none."""
+    long = lambda x: F.length(x.cast("string")) >= digits
+    found = F.exists(F.filter(a, long), lambda x: F.exists(F.filter(b, long), lambda y: (x != y) & test(x, y)))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), found)
 
 
 def number_stats(a: Column, b: Column) -> Column:
     """struct of shared, n_a, n_b, conflict (both have some and share none) and fuzzy (a number of one side begins or ends
     a different one of the other)."""
-    fuzzy = F.coalesce(any_pair(a, b, fuzzy_numbers, 10), F.lit(False))
+    fuzzy = F.coalesce(any_pair(a, b, fuzzy_numbers, 2), F.lit(False))
     return F.struct(
         shared(a, b).alias("shared"), F.size(a).alias("n_a"), F.size(b).alias("n_b"),
         ((F.size(a) > 0) & (F.size(b) > 0) & (shared(a, b) == 0)).cast("int").alias("conflict"), fuzzy.cast("int").alias("fuzzy"),

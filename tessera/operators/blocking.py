@@ -22,11 +22,12 @@ TYPES = ("ntok", "tri", "atok", "num", "numx", "nnum", "span")
 
 @dataclass(frozen=True)
 class Blocking:
-    """Limits and weights by feature type. caps: right records that may hold a feature; m: features probed."""
+    """Limits and weights by feature type. caps: right records that may hold a feature (None: any number); prefix_m: features
+    probed (None: all). Without both limits every pair that shares a feature is scored, by its whole cosine."""
 
-    caps: dict = field(default_factory=lambda: {"ntok": 20000, "tri": 5000, "atok": 20000, "num": 20000, "numx": 5000, "nnum": 5000, "span": 2000})
+    caps: dict | None = field(default_factory=lambda: {"ntok": 20000, "tri": 5000, "atok": 20000, "num": 20000, "numx": 5000, "nnum": 5000, "span": 2000})
     weights: dict = field(default_factory=lambda: {"ntok": 1.0, "tri": 0.35, "atok": 0.8, "num": 0.8, "numx": 1.0, "nnum": 1.0, "span": 1.0})
-    prefix_m: int = 48
+    prefix_m: int | None = 48
     k1: int = 100
     rev_k: int = 5
 
@@ -63,26 +64,33 @@ def features(records: DataFrame) -> DataFrame:
 def retrieval_weights(feats: DataFrame, sizes: DataFrame, how: Blocking = Blocking()) -> DataFrame:
     """(pool, type, feature, df, w): type weight * ln((right records + 1) / df), df over right records; too common ones are left out."""
     df = feats.filter("src > 1").groupBy("pool", "type", "feature").agg(F.count("*").alias("df"))
-    kept = df.filter(F.col("df") <= _of_type(how.caps))
+    kept = df if how.caps is None else df.filter(F.col("df") <= _of_type(how.caps))
     w = _of_type(how.weights) * F.log((F.col("n_right") + 1) / F.col("df"))
     return kept.join(sizes, "pool").select("pool", "type", "feature", "df", w.alias("w")).filter("w <> 0")
 
 
+def feature_key() -> Column:
+    """A feature of a pool as one number, which sorts and shuffles faster than three strings; 64 bits, so that none collide by chance."""
+    return F.xxhash64("pool", "type", "feature")
+
+
 def vectors(feats: DataFrame, weights: DataFrame) -> DataFrame:
-    """(id, src, pool, type, feature, v): weights normalised to length 1 over the features that carry one."""
-    rows = feats.join(weights, ["pool", "type", "feature"])
+    """(id, src, pool, type, feature, key, v): weights normalised to length 1 over the features that carry one."""
+    rows = feats.withColumn("key", feature_key()).join(weights.select(feature_key().alias("key"), "w"), "key")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id", "src")))
-    return rows.select("id", "src", "pool", "type", "feature", (F.col("w") / norm).alias("v"))
+    return rows.select("id", "src", "pool", "type", "feature", "key", (F.col("w") / norm).alias("v"))
 
 
-def similar_pairs(vecs: DataFrame, prefix_m: int = 48) -> DataFrame:
+def similar_pairs(vecs: DataFrame, prefix_m: int | None = 48) -> DataFrame:
     """(a, b, pool, score) of all left and right records that share a probed feature. The left vector is cut to its prefix_m
-    heaviest features after it was normalised."""
-    heaviest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("v"), "type", "feature"))
-    left = vecs.filter("src = 1").withColumn("_r", heaviest).filter(F.col("_r") <= prefix_m)
-    left = left.select(F.col("id").alias("a"), "pool", "type", "feature", F.col("v").alias("va"))
-    right = vecs.filter("src > 1").select(F.col("id").alias("b"), "pool", "type", "feature", F.col("v").alias("vb"))
-    joined = left.join(right, ["pool", "type", "feature"])
+    heaviest features after it was normalised; None probes them all, so that the scores are whole cosines."""
+    left = vecs.filter("src = 1")
+    if prefix_m is not None:
+        heaviest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("v"), "type", "feature"))
+        left = left.withColumn("_r", heaviest).filter(F.col("_r") <= prefix_m)
+    left = left.select(F.col("id").alias("a"), "pool", "key", F.col("v").alias("va"))
+    right = vecs.filter("src > 1").select(F.col("id").alias("b"), "key", F.col("v").alias("vb"))
+    joined = left.join(right, "key")
     return joined.groupBy("pool", "a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("score")).select("a", "b", "pool", F.round("score", 9).alias("score"))
 
 

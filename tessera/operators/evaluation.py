@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators.decisions import expected_f05
 from tessera.operators.models import uniform
+from tessera.operators.windows import rank_desc
 
 
 def f05(tp: Column, predicted: Column, true: Column) -> Column:
@@ -98,6 +99,32 @@ def error_costs(counts: DataFrame, errors: DataFrame) -> DataFrame:
     return gain.crossJoin(counts.agg(F.count("*").alias("all"))).select("error", "n", (F.col("gain") / F.col("all")).alias("f05_lost"))  # one row on the right
 
 
+def error_frames(errors: DataFrame, pairs: DataFrame, records: DataFrame, q: str = "q") -> DataFrame:
+    """Each error with what explains it: a, b, error, both names, q and rank_a of the pair (null if it was no candidate), and the
+    left record's best candidate (top_b, top_q), which a missed match lost to. pairs: a, b and q; records: id, src, name."""
+    named = lambda side, test: records.filter(test).select(F.col("id").alias(side), F.col("name").alias(f"name_{side}"))
+    scored = pairs.select("a", "b", F.col(q).alias("q"), rank_desc("a", q, "b").alias("rank_a"))
+    top = scored.filter("rank_a = 1").select("a", F.col("b").alias("top_b"), F.col("q").alias("top_q"))
+    out = errors.join(scored, ["a", "b"], "left").join(named("a", "src = 1"), "a").join(named("b", "src > 1"), "b").join(top, "a", "left")
+    return out.select("a", "b", "error", "name_a", "name_b", "q", "rank_a", "top_b", "top_q")
+
+
+def best_by_group(scores: Mapping[str, Mapping[str, float]]) -> tuple[str, dict[str, str]]:
+    """The option that is best over all ("*"), and each group's own best; of equal ones the first. scores: option -> group -> mean F0.5."""
+    best = lambda g: max(scores, key=lambda o: scores[o].get(g, float("-inf")))
+    return best("*"), {g: best(g) for g in sorted({g for own in scores.values() for g in own} - {"*"})}
+
+
+def tune_exclusivity(options: list[str], lists_of, left: DataFrame, truth: DataFrame, group: str = "country") -> tuple[str, dict[str, str]]:
+    """best_by_group of exclusivity options: one pass an option gives the mean F0.5 over all and of each group, as lists never cross
+    groups. lists_of: option -> chosen pairs (a, b); left: a and group."""
+    scores = {}
+    for option in options:
+        rows = macro_f05(list_counts(left, lists_of(option), truth), group).collect()  # a row for each group
+        scores[option] = {r["grp"]: r["f05"] for r in rows}
+    return best_by_group(scores)
+
+
 def stratified(rows: DataFrame, group: str, k: int, key: str, seed: int = 0) -> DataFrame:
     """A sample of k rows, spread evenly over the groups; what small groups cannot fill goes to the larger ones. This is a sampling operator."""
     sizes = sorted((r["count"], r[group]) for r in rows.groupBy(group).count().collect())  # a row for each group

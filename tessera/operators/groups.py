@@ -85,3 +85,14 @@ def next_stage(pairs: DataFrame, records: DataFrame, p: str, level: int) -> Data
     rows = group_agreement(rows, records, p, suffix=suffix)
     rows = source_context(rows.join(right, "b"), p, suffix)
     return twin_best(rows, p, f"g_twin{level}").drop("src", "name")
+
+
+def rebuild_last(first: DataFrame, scores: DataFrame, records: DataFrame, stages: int, columns: list[str] | None = None) -> DataFrame:
+    """The last stage's input again, from the first stage's columns and the saved scores p1, .., of the stages before. first: a, b and
+    columns; scores: a, b, p1, ..; columns: the names that training had, if they are to be checked."""
+    rows = first
+    for level in range(1, stages):
+        rows = next_stage(rows.join(scores.select("a", "b", f"p{level}"), ["a", "b"]), records, f"p{level}", level)
+    if columns is not None and set(columns) != set(rows.columns) - {"a", "b"}:
+        raise ValueError(f"rebuilt columns differ from training's: {sorted(set(columns) ^ (set(rows.columns) - {'a', 'b'}))}")
+    return rows

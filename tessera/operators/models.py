@@ -122,19 +122,44 @@ def predict_mean(models: Sequence, rows: DataFrame, columns: Sequence[str], out:
     return rows.withColumn(out, mean).drop(*names)
 
 
-def cv_scores(rows: DataFrame, columns: Sequence[str], out: str, folds: int = 3, seed: int = 42, **params) -> tuple[DataFrame, list]:
-    """Adds out-of-fold scores; rows with hold get the mean of the fold models. rows: a, y, hold. Folds are grouped by a."""
+def cv_scores(
+    rows: DataFrame, columns: Sequence[str], out: str, folds: int = 3, seed: int = 42, seeds: int = 1, max_left: int | None = None, final: bool = False, **params
+) -> tuple[DataFrame, list]:
+    """Adds out-of-fold scores and returns the models that score new rows. rows: a, y, hold. Folds are grouped by a.
+
+    Each fold has `seeds` models, whose mean counts. Rows with hold get the mean of the fold models, or with final that of
+    models of all other rows. max_left: about how many left records a fit takes, by a seeded hash of a; None takes all.
+    """
     keyed = rows.withColumn("_fold", fold_of("a", folds, seed))
-    models, parts = [], []
-    for k in range(folds):
-        model = fit_trees(keyed.filter((F.col("_fold") != k) & ~F.col("hold")), columns, seed=seed + k, **params)
-        models.append(model)
-        parts.append(predict(model, keyed.filter((F.col("_fold") == k) & ~F.col("hold")), columns, out))
-    parts.append(predict_mean(models, keyed.filter("hold"), columns, out))
+    open_rows = keyed.filter(~F.col("hold"))
+
+    def fit(own: DataFrame, k: int) -> list:
+        if max_left is not None:
+            n = own.select("a").distinct().count()
+            own = own.filter(uniform("a", seed + 7919 * (k + 1)) < min(1.0, max_left / max(n, 1)))
+        return [fit_trees(own, columns, seed=seed + k + 1000 * i, **params) for i in range(seeds)]
+
+    of_fold = [fit(open_rows.filter(F.col("_fold") != k), k) for k in range(folds)]
+    last = fit(open_rows, folds) if final else [m for own in of_fold for m in own]
+    parts = [predict_mean(own, open_rows.filter(F.col("_fold") == k), columns, out) for k, own in enumerate(of_fold)]
+    parts.append(predict_mean(last, keyed.filter("hold"), columns, out))
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
-    return scored.drop("_fold"), models
+    return scored.drop("_fold"), last
+
+
+def expert_scores(rows: DataFrame, columns: Sequence[str], out: str, groups: Sequence[str], group: str = "country", **params) -> tuple[DataFrame, dict[str, list]]:
+    """Adds the scores of each group's own models (null for other groups, and for groups without rows to fit on), and the models."""
+    scored, experts = rows.filter(~F.col(group).isin(list(groups)) | F.col(group).isNull()).withColumn(out, F.lit(None).cast("double")), {}
+    for name in groups:
+        own = rows.filter(F.col(group) == name)
+        if own.filter(~F.col("hold")).limit(1).count():
+            part, experts[name] = cv_scores(own, columns, out, **params)
+        else:
+            part = own.withColumn(out, F.lit(None).cast("double"))
+        scored = scored.unionByName(part)
+    return scored, experts
 
 
 def importance_ranks(model, columns: Sequence[str], wanted: Sequence[str]) -> dict[str, int]:

@@ -26,8 +26,26 @@ class Pool:
 
 def counts_by_country(records: DataFrame) -> dict[str, tuple[int, int]]:
     """country -> (left records, right records). records: country, src; other columns are not read."""
-    rows = records.groupBy("country").agg(F.count_if(F.col("src") == 1).alias("left"), F.count_if(F.col("src") > 1).alias("right")).collect()  # a row for each country
-    return {r["country"]: (r["left"], r["right"]) for r in rows}
+    return {r["country"]: (r["left"], r["right"]) for r in country_counts(records).collect()}  # a row for each country
+
+
+def country_counts(records: DataFrame) -> DataFrame:
+    """country, left, right: numbers of records."""
+    return records.groupBy("country").agg(F.count_if(F.col("src") == 1).alias("left"), F.count_if(F.col("src") > 1).alias("right"))
+
+
+def density_gaps(kept: DataFrame, wanted: Mapping[str, float], limit: float = 0.02, least: int = 20_000) -> dict[str, float]:
+    """Pools whose right records per left record are further than limit from what is wanted, with the gap; pools of fewer than
+    `least` left records are not judged, as chance alone takes them that far. kept: pool, src."""
+    rows = kept.groupBy("pool").agg(F.count_if(F.col("src") == 1).alias("left"), F.count_if(F.col("src") > 1).alias("right")).collect()  # a row for each pool
+    gaps = {r["pool"]: abs(r["right"] / r["left"] / wanted[r["pool"]] - 1) for r in rows if r["left"] >= least and r["pool"] in wanted}
+    return {pool: gap for pool, gap in gaps.items() if gap > limit}
+
+
+def check_density(kept: DataFrame, wanted: Mapping[str, float], **how) -> None:
+    """An error if density_gaps finds any."""
+    if gaps := density_gaps(kept, wanted, **how):
+        raise ValueError(f"pools are not as dense as wanted: {gaps}")
 
 
 def extra_pools(train: Mapping[str, tuple[int, int]], test: Mapping[str, tuple[int, int]], cap: float = 1.0) -> list[dict]:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
-from tessera.functions import tables, text
-from tessera.operators import blocking, decisions, evaluation, fellegi, groups, models, windows
+from tessera.functions import addresses, names, tables, text
+from tessera.operators import blocking, calibration, decisions, evaluation, fellegi, groups, models, sampling, windows
 from tessera.operators import lexicon as lex
 from tessera.operators import records as rec
 from tessera.plans import documents as D
@@ -159,13 +160,16 @@ grams AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(list_transform(ran
 shared AS (SELECT a, b, sum(least(x.n, z.n)) AS k FROM cands JOIN grams x ON x.id = a JOIN grams z ON z.id = b AND z.g = x.g GROUP BY a, b)""",
     select="SELECT p.a, p.b, round(CASE WHEN least(length(L.concat), length(R.concat)) = 0 THEN 0 ELSE 2.0 * coalesce(k, 0) / (length(L.concat) + length(R.concat)) END, 9) AS dice FROM pairs p LEFT JOIN shared s ON s.a = p.a AND s.b = p.b"))
 def tri_dice(spark, d):
-    return D.pairs(spark, d).select("a", "b", F.round(sim.tri_dice(F.col("L.concat"), F.col("R.concat")), 9).alias("dice"))
+    grams = D.written(spark, d, "grams", lambda: D.records(spark, d).repartition("id").select("id", sim.numbered_trigrams(F.col("concat")).alias("g")))
+    side = lambda c: grams.select(F.col("id").alias(c), F.col("g").alias(f"g{c}"))
+    both = D.cands(spark, d).select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", F.round(sim.dice_of_grams(F.col("ga"), F.col("gb")), 9).alias("dice"))
 
 
 _NUMBER_PAIRS = """
 SELECT a, b, len(list_intersect(L.nu, R.nu)) AS shared, CASE WHEN len(L.nu) > 0 AND len(R.nu) > 0 AND len(list_intersect(L.nu, R.nu)) = 0 THEN 1 ELSE 0 END AS conflict,
-  CASE WHEN len(list_filter(flatten(list_transform(L.nu, lambda x: list_transform(R.nu, lambda y: x <> y AND least(x, y) >= 10 AND (
-    greatest(x, y) % power(10, length(least(x, y)::VARCHAR))::BIGINT = least(x, y) OR starts_with(greatest(x, y)::VARCHAR, least(x, y)::VARCHAR))))), lambda t: t)) > 0 THEN 1 ELSE 0 END AS fuzzy
+  CASE WHEN len(list_filter(flatten(list_transform(L.nu, lambda x: list_transform(R.nu, lambda y: x <> y AND least(length(x), length(y)) >= 2
+    AND (starts_with(x, y) OR starts_with(y, x) OR ends_with(x, y) OR ends_with(y, x))))), lambda t: t)) > 0 THEN 1 ELSE 0 END AS fuzzy
 FROM pairs"""
 
 
@@ -243,13 +247,47 @@ def ascii_fold(spark, d):
 def legal_split(spark, d):
     """Names without legal forms and stop words."""
     words = F.filter(F.split("core", " "), lambda w: w != "")
-    dropped = [*tables.LEGAL, *tables.NAME_DROP]
-    return D.records(spark, d).select("id", F.array_join(F.filter(words, lambda w: ~w.isin(dropped)), " ").alias("core"), F.size(F.filter(words, lambda w: w.isin(list(tables.LEGAL)))).cast("long").alias("n_legal"))
+    forms = F.size(F.filter(words, lambda w: F.array_contains(F.array(*map(F.lit, tables.LEGAL)), w))).cast("long")
+    return D.records(spark, d).select("id", F.array_join(names.split_legal(words)["core"], " ").alias("core"), forms.alias("n_legal"))
+
+
+def _customers(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+
+
+@query("""
+SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) || ' services' WHEN 1 THEN 'new ' || lower(c_mktsegment) WHEN 2 THEN lower(c_mktsegment) ELSE lower(c_mktsegment) || ' group' END AS core,
+  CASE c_custkey % 4 WHEN 0 THEN 'ltd pvt' WHEN 1 THEN 'inc' ELSE '' END AS legal, CASE c_custkey % 4 WHEN 1 THEN 'old ' || lower(c_mktsegment) ELSE '' END AS alt,
+  CASE c_custkey % 4 WHEN 2 THEN 1 ELSE 0 END AS is_domain, CASE c_custkey % 4 WHEN 0 THEN 'service' ELSE '' END AS churn, CASE c_custkey % 4 WHEN 3 THEN 'group' ELSE '' END AS gw FROM customer""")
+def parsed_names(spark, d):
+    """Names of four dirty kinds through the name parser: with legal forms and a record number, renamed, a domain, with a second part."""
+    n, s = F.col("id") % 4, F.col("segment")
+    raw = F.when(n == 0, F.concat(F.lit("M/s. The "), s, F.lit(" 5ervices Pvt. Ltd. (ID: "), F.col("id").cast("string"), F.lit(")")))
+    raw = raw.when(n == 1, F.concat(F.lit("Old "), s, F.lit(" a/k/a New "), s, F.lit(" Incorporated")))
+    raw = raw.when(n == 2, F.concat(F.lit("www."), F.lower(s), F.lit(".com"))).otherwise(F.concat(s, F.lit(" Groupe | "), s, F.lit(" Elsewhere")))
+    p = _customers(spark, d).select("id", names.parse_name(raw, F.lit("US")).alias("p"))
+    joined = lambda c: F.array_join(f"p.{c}", " ").alias(c)
+    return p.select("id", F.regexp_replace("p.core", "groupe$", "group").alias("core"), "p.legal", "p.alt", "p.is_domain", joined("churn"), joined("gw"))
+
+
+_STATES = ", ".join(f"('{code}', '{full}')" for code, full in tables.US_STATES.items())
+
+
+@query(f"""
+WITH states(code, full_name) AS (VALUES {_STATES}), numbered AS (SELECT *, row_number() OVER (ORDER BY code) - 1 AS i FROM states)
+SELECT c_custkey AS id, 'apartment elm main road street' AS tokens, array_to_string(list_sort(list_distinct([c_custkey, c_nationkey::BIGINT])), ' ') AS nums, full_name AS state, 0 AS a_empty
+FROM customer JOIN numbered ON i = c_custkey % {len(tables.US_STATES)}""")
+def parsed_addresses(spark, d):
+    """Addresses with abbreviations, numbers, a post box, a care-of mark and a state code through the address parser."""
+    codes = F.array(*map(F.lit, sorted(tables.US_STATES)))
+    raw = F.concat(F.col("id").cast("string"), F.lit(" Main St, Apt "), F.col("nation").cast("string"), F.lit(", c/o Elm Rd, P.O. Box 77, "), F.upper(F.get(codes, (F.col("id") % len(tables.US_STATES)).cast("int"))))
+    p = _customers(spark, d).select("id", addresses.parse_address(raw, F.lit("US")).alias("p"))
+    return p.select("id", F.array_join("p.tokens", " ").alias("tokens"), F.array_join(F.transform("p.nums", lambda x: x.cast("string")), " ").alias("nums"), "p.state", F.col("p.empty").cast("int").alias("a_empty"))
 
 
 @query()
 def parsed_records(spark, d):
-    """Every part, customer, supplier and document through the name and address parsers."""
+    """Every page, with its title as a name and its URL as an address, through the name and address parsers."""
     return linkage.encoded(spark, d).select("id", "src", "pool", "core", "sorted", "concat", "alt", "legal", "phon", "ini", "a_sorted", "nu", "state", "a_empty", "adig", "name_freq")
 
 
@@ -267,15 +305,25 @@ def state_fill(spark, d):
     return rec.fill_states(rows, rec.state_words(rows, least=2)).select("id", "state")
 
 
-@query(D.sql(*D.FULL, """
-one AS (SELECT L.pool AS scope, list_filter(R.nt, lambda x: NOT list_contains(L.nt, x)) AS x, list_filter(L.nt, lambda x: NOT list_contains(R.nt, x)) AS y FROM pairs),
+@query("""
+WITH tokens AS (
+  SELECT c_nationkey::VARCHAR AS scope, CASE c_custkey % 4 WHEN 0 THEN ['one', lower(c_mktsegment)] WHEN 1 THEN ['one', 'abz'] WHEN 2 THEN ['abq'] ELSE ['one', 'two', 'three'] END AS ta,
+    CASE c_custkey % 4 WHEN 0 THEN ['one', lower(c_mktsegment[1:3]) || 'x'] WHEN 1 THEN ['one', 'abc'] WHEN 2 THEN ['abz'] ELSE ['one'] END AS tb FROM customer
+),
+one AS (SELECT scope, list_filter(tb, lambda x: NOT list_contains(ta, x)) AS x, list_filter(ta, lambda x: NOT list_contains(tb, x)) AS y FROM tokens),
 single AS (SELECT scope, x[1] AS word, y[1] AS target FROM one WHERE len(x) = 1 AND len(y) = 1),
 counted AS (SELECT scope, word, target, count(*) FILTER (word[1] = target[1]) AS n, count(*) AS k FROM single GROUP BY ALL),
-kept AS (SELECT * FROM (SELECT *, sum(k) OVER (PARTITION BY scope, word) AS total, row_number() OVER (PARTITION BY scope, word ORDER BY n DESC, target) AS r FROM counted QUALIFY n >= 1 AND n >= 0.5 * total))""",
-    select="SELECT k.scope, k.word, k.target FROM (SELECT *, row_number() OVER (PARTITION BY scope, word ORDER BY n DESC, target) AS f FROM kept) k WHERE f = 1 AND NOT EXISTS (SELECT 1 FROM kept o WHERE o.scope = k.scope AND o.word = k.target)"))
+kept AS (SELECT * FROM (SELECT *, sum(k) OVER (PARTITION BY scope, word) AS total FROM counted) WHERE n >= 2 AND n >= 0.5 * total),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, word ORDER BY n DESC, target) AS f FROM kept) WHERE f = 1)
+SELECT k.scope, k.word, k.target FROM firsts k WHERE NOT EXISTS (SELECT 1 FROM firsts o WHERE o.scope = k.scope AND o.word = k.target)""")
 def lexicon_swaps(spark, d):
-    rows = D.pairs(spark, d).select(F.col("L.pool").alias("scope"), F.col("L.nt").alias("ta"), F.col("R.nt").alias("tb"))
-    return lex.swaps(rows, 1)
+    """Swaps of words mined per scope from token sets with planted swaps, and a chain (abc -> abz -> abq) of which only the end stays."""
+    n = F.col("id") % 4
+    segment, short = F.lower("segment"), F.concat(F.lower(F.substring("segment", 1, 3)), F.lit("x"))
+    words = lambda *w: F.array(*(F.lit(x) if isinstance(x, str) else x for x in w))
+    ta = F.when(n == 0, words("one", segment)).when(n == 1, words("one", "abz")).when(n == 2, words("abq")).otherwise(words("one", "two", "three"))
+    tb = F.when(n == 0, words("one", short)).when(n == 1, words("one", "abc")).when(n == 2, words("abz")).otherwise(words("one"))
+    return lex.swaps(_customers(spark, d).select(F.col("nation").cast("string").alias("scope"), ta.alias("ta"), tb.alias("tb")), 2)
 
 
 # ---------------------------------------------------------------- ranks and context
@@ -467,14 +515,76 @@ def expected_f05_k(spark, d):
     return rows.select("a", F.col("k").cast("long").alias("k"), F.round(decisions.expected_f05(F.col("ps"), F.col("k")), 8).alias("expected"))
 
 
-@query()
+_SOFT = "soft AS (SELECT a, b, round((q / (1 - q)) / (1 + sum(q / (1 - q)) OVER (PARTITION BY b)), 9) AS qe FROM q)"
+_EXPECTED = """CASE WHEN k = 0 THEN t[1] ELSE list_sum(list_transform(range(1, k + 1), lambda i: list_sum(list_transform(range(0, len(t)), lambda j: h[i + 1] * t[j + 1] * 1.25 * i / (k + 0.25 * (i + j)))))) END"""
+
+
+@query(D.sql(*D.FULL, _Q, _SOFT, "lists AS (SELECT a, list(qe ORDER BY qe DESC, b) AS ps, list(b ORDER BY qe DESC, b) AS bs FROM soft WHERE qe >= 0.001 GROUP BY a)", f"""
+ks AS (SELECT a, ps, bs, unnest(range(0, len(ps) + 1)) AS k FROM lists),
+parts AS (SELECT a, bs, k, CASE WHEN k > 0 THEN {_HEAD} ELSE [1.0::DOUBLE] END AS h, CASE WHEN k < len(ps) THEN {_TAIL} ELSE [1.0::DOUBLE] END AS t FROM ks),
+best AS (SELECT a, bs, k FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(e, 12) DESC, k) AS r FROM (SELECT a, bs, k, {_EXPECTED} AS e FROM parts)) WHERE r = 1),
+chosen AS (SELECT a, unnest(bs[1:k]) AS b FROM best),
+joined AS (SELECT c.a, string_agg(c.b::VARCHAR, ',' ORDER BY qe DESC, c.b::VARCHAR) AS ids FROM chosen c JOIN soft s ON s.a = c.a AND s.b = c.b GROUP BY c.a)""",
+    select="SELECT r.id::VARCHAR AS source1_entity_id, coalesce(ids, '') AS matched_entity_ids FROM recs r LEFT JOIN joined j ON j.a = r.id WHERE r.src = 1"))
 def selected_lists(spark, d):
     """The list of largest expected F0.5 of each left record, after soft exclusivity."""
-    rows = decisions.decide(_q(spark, d), {"excl": "soft", "min_p": 0.001})
+    rows = decisions.decide(_q(spark, d), {"excl": "soft", "min_p": 0.001}, calibrate=lambda q: F.round(q, 9))
     left = D.records(spark, d).filter("src = 1").select(F.col("id").alias("a"))
     return source.joined_lists(left, rows.filter("sel"), "qe", "matched_entity_ids")
 
 
+@query(D.sql(*D.FULL, _Q, _SOFT, _HARD, select="SELECT q.a, q.b, CASE WHEN q.pool = 'en' THEN hard.qe ELSE round(soft.qe, 8) END AS qe FROM q JOIN soft ON soft.a = q.a AND soft.b = q.b JOIN hard ON hard.a = q.a AND hard.b = q.b"))
+def exclusive_by_pool(spark, d):
+    """Each pool's own exclusivity: a margin of 0.1 for one, soft for the others."""
+    value = decisions.exclusive_by("pool", {"en": f"hard:{0.1 - 1e-10}"}, "soft")
+    return _q(spark, d).select("a", "b", F.when(F.col("pool") == "en", value).otherwise(F.round(value, 8)).alias("qe"))
+
+
+@query(D.sql(*D.FULL, _Q, select="SELECT a, b, q >= 0.4 AND (pool IN ('en', 'de') OR q >= 0.7) AS sel FROM q"))
+def unseen_floor(spark, d):
+    rows = _q(spark, d).withColumn("sel", F.col("q") >= 0.4)
+    return decisions.unseen_floor(rows, ["en", "de"], 0.7, "pool", "q").select("a", "b", "sel")
+
+
+@query(D.sql(*D.FULL, _Q, _LISTS, f"""
+sized AS (SELECT a, count(*) FILTER (q >= 0.5) AS k FROM q GROUP BY a),
+ks AS (SELECT l.a, ps, k FROM lists l JOIN sized z ON z.a = l.a),
+parts AS (SELECT a, k, CASE WHEN k > 0 THEN {_HEAD} ELSE [1.0::DOUBLE] END AS h, CASE WHEN k < len(ps) THEN {_TAIL} ELSE [1.0::DOUBLE] END AS t FROM ks)""",
+    select=f"SELECT a, k, round({_EXPECTED}, 8) AS expected FROM parts"))
+def expected_of_lists(spark, d):
+    """Length and expected F0.5 of the lists that a threshold gives, without labels."""
+    out = evaluation.expected_lists(_q(spark, d).withColumn("sel", F.col("q") >= 0.5))
+    return out.select("a", F.col("k").cast("long").alias("k"), F.round("expected", 8).alias("expected"))
+
+
+_CLIP = "least(greatest({0}, 1e-6), 1 - 1e-6)"
+
+
+@query(D.sql(*D.FULL, _Q, f"""
+grid AS (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS w),
+loss AS (SELECT w, -avg(CASE WHEN y THEN ln(p) ELSE ln(1 - p) END) AS l FROM (SELECT w, y, w * {_CLIP.format("q")} + (1 - w) * {_CLIP.format("1 - q")} AS p FROM q, grid) GROUP BY w)""",
+    select="SELECT w, round(1 - w, 1) AS rest FROM (SELECT w, row_number() OVER (ORDER BY round(l, 12), w) AS r FROM loss) WHERE r = 1"))
+def blend_grid(spark, d):
+    """The weights of least log loss of a score and its complement."""
+    rows = _q(spark, d).withColumn("other", 1 - F.col("q"))
+    w, rest = models.blend_weights(rows, ["q", "other"])
+    return spark.createDataFrame([(w, round(rest, 1))], "w double, rest double")
+
+
+@query(D.sql(*D.FULL, _Q, """
+edges AS (SELECT DISTINCT unnest(quantile_cont(q, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS e FROM q),
+binned AS (SELECT q, y, (SELECT count(*) FROM edges WHERE e <= q) AS bin FROM q),
+means AS (SELECT bin, count(*) AS n, avg(q) AS x, avg(y::INT) AS m, row_number() OVER (ORDER BY bin) AS i FROM binned GROUP BY bin),
+spans AS (SELECT lo.i AS lo, hi.i AS hi, sum(t.m * t.n) / sum(t.n) AS mean FROM means lo, means hi, means t WHERE lo.i <= hi.i AND t.i BETWEEN lo.i AND hi.i GROUP BY lo.i, hi.i),
+rising AS (SELECT i, max(least_mean) AS y FROM (SELECT m.i, s.lo, min(s.mean) AS least_mean FROM means m JOIN spans s ON s.lo <= m.i AND s.hi >= m.i GROUP BY m.i, s.lo) GROUP BY i)""",
+    select="SELECT m.i, round(m.x, 9) AS x, round(r.y, 9) AS y FROM means m JOIN rising r ON r.i = m.i"))
+def calibration_knots(spark, d):
+    """The rising map from scores to match rates over ten quantile bins, as its knots."""
+    xs, ys = calibration.fit_isotonic(_q(spark, d), "q", "y", bins=10)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(xs, ys, strict=True), 1)]
+    return spark.createDataFrame(rows, "i long, x double, y double").select("i", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
 @query(D.sql(*D.FULL, _Q, """
 hm AS (SELECT a, y, q, row_number() OVER (PARTITION BY a ORDER BY q DESC, b) AS r, q / sum(q) OVER (PARTITION BY a) AS share FROM q)""",
     select="SELECT a, max(CASE WHEN r = 1 THEN q END) AS q1, coalesce(max(CASE WHEN r = 2 THEN q END), 0) AS q2, coalesce(max(CASE WHEN r = 3 THEN q END), 0) AS q3, round(sum(q), 8) AS q_sum, count(*) FILTER (q > 0.5) AS n_q05, count(*) FILTER (q > 0.1) AS n_q01, count(*) AS n_cand, round(-sum(share * ln(share)), 8) + 0.0 AS q_entropy FROM hm GROUP BY a"))
@@ -522,6 +632,17 @@ def error_types(spark, d):
     return _errors(spark, d)
 
 
+@query(D.sql(*D.FULL, _Q, _ERRORS, """
+ranked AS (SELECT a, b, q, row_number() OVER (PARTITION BY a ORDER BY q DESC, b) AS rank_a FROM q),
+tops AS (SELECT a, b AS top_b, q AS top_q FROM ranked WHERE rank_a = 1)""",
+    select="""SELECT e.a, e.b, error, x.name AS name_a, z.name AS name_b, r.q, r.rank_a, top_b, top_q FROM errors e JOIN recs x ON x.id = e.a AND x.src = 1 JOIN recs z ON z.id = e.b AND z.src > 1
+  LEFT JOIN ranked r ON r.a = e.a AND r.b = e.b LEFT JOIN tops t ON t.a = e.a"""))
+def error_frames(spark, d):
+    """Each error with both names, its score and rank, and the left record's best candidate."""
+    out = evaluation.error_frames(_errors(spark, d), _q(spark, d), D.records(spark, d))
+    return out.withColumn("rank_a", F.col("rank_a").cast("long"))
+
+
 _COST = _F05("tp + CASE WHEN error IN ('block_miss', 'rerank_miss', 'dropped_true') THEN k ELSE 0 END", "(n_pred + CASE WHEN error IN ('block_miss', 'rerank_miss', 'dropped_true') THEN k ELSE -k END)", "n_true")
 
 
@@ -563,6 +684,36 @@ def validate_lists(spark, d):
     return evaluation.validate_lists(lists, ids.filter("src = 1"), ids.filter("src > 1"))
 
 
+# ---------------------------------------------------------------- sampling, files
+
+
+@query(D.sql(D.RECORDS, select="SELECT pool AS country, count(*) FILTER (src = 1) AS \"left\", count(*) FILTER (src > 1) AS \"right\" FROM recs GROUP BY pool"))
+def country_counts(spark, d):
+    return sampling.country_counts(D.records(spark, d).select(F.col("pool").alias("country"), "src"))
+
+
+@query(D.sql(D.RECORDS, """
+train AS (SELECT pool, count(*) FILTER (src = 1) AS n, count(*) FILTER (src > 1) AS m FROM recs WHERE id % 3 <> 0 GROUP BY pool),
+test AS (SELECT pool, count(*) FILTER (src = 1) AS n, count(*) FILTER (src > 1) AS m FROM recs WHERE id % 3 = 0 AND pool <> 'es' GROUP BY pool)""",
+    select="""SELECT r.pool AS name, round(CASE WHEN t.n IS NULL THEN 1.0 ELSE least(1.0, 0.9 * t.m / r.m) END * CASE WHEN t.n IS NULL THEN 0.9 ELSE 1 END, 9) AS keep,
+  round(CASE WHEN t.n IS NULL THEN 0.19 ELSE greatest(0.0, 1 - (r.m / r.n) / (t.m / t.n)) END, 9) AS dropped FROM train r LEFT JOIN test t ON t.pool = r.pool"""))
+def pool_plan(spark, d):
+    """Shares of each training pool that make it as large and as dense as the test's; a pool that the test lacks keeps the cap."""
+    rows = D.records(spark, d).select("id", F.col("pool").alias("country"), "src")
+    train, test = sampling.counts_by_country(rows.filter("id % 3 <> 0")), sampling.counts_by_country(rows.filter("id % 3 = 0 AND country <> 'es'"))
+    plan = [(p.name, round(p.keep, 9), round(p.drop, 9)) for p in sampling.plan_pools(train, test, cap=0.9)]
+    return spark.createDataFrame(plan, "name string, keep double, dropped double")
+
+
+@query(D.sql(D.RECORDS, D.TRUTH, select="SELECT a::VARCHAR AS a, b::VARCHAR AS b FROM truth"))
+def files_round_trip(spark, d):
+    """Known matches written as lists of ids, an empty one for each left record without any, and read back."""
+    left = D.records(spark, d).filter("src = 1").select(F.col("id").alias("a"))
+    path = f"{source.shared_folder(spark)}/lists-{uuid.uuid4().hex}"
+    source.write_tsv(source.joined_lists(left, D.truth(spark, d).withColumn("s", F.lit(1.0)), "s", "matched_entity_ids"), path)
+    return source.read_truth(spark, path)
+
+
 # ---------------------------------------------------------------- whole runs
 
 

@@ -2,15 +2,22 @@
 
 The tables hold no business records, so each document stands for one: its source gives the role (1 left, 2 and 3 right), its
 language the pool, its first line is the name and its other lines are the address, all of them whole. Known matches are
-equal texts in one pool, each right record owned by the smallest left id.
+equal texts in one pool, each right record owned by the smallest left id. Numbers are digit strings of any length, without
+leading zeros.
+
+Many queries start from the same records and candidates. They are written once for each state of the table, as Parquet in
+the folder that the cluster shares, and read from there by every query of the application.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import blocking
+from tessera.sources.tables import shared_folder
 
 HOW = blocking.Blocking(k1=5, rev_k=2)
 
@@ -19,14 +26,46 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))
 
 
+#: Tables of this application: (application, folder, state of the table, name) -> path.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _state(spark, path: str) -> str:
+    """Names, sizes and times of a table's files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return "|".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(where)))
+
+
+def written(spark, sf_dir: str, name: str, make) -> DataFrame:
+    """make()'s table, from the shared folder if this application has written it for the documents as they are now."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, f"{sf_dir}/documents.parquet"), name)
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that is read in fewer parts than there are cores, dealt out by a key; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    files = rows.inputFiles()
+    return rows.repartition(cores, key) if len(files) < cores else rows
+
+
 def records(spark, sf_dir: str) -> DataFrame:
     """id, src, pool, name, text, core, sorted, concat, nt, a_sorted, at, nu, state, a_empty."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return written(spark, sf_dir, "records", lambda: _records(spark, sf_dir))
+
+
+def _records(spark, sf_dir: str) -> DataFrame:
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", F.lower(F.coalesce("text", F.lit(""))).alias("text")), "doc_id")
     split = docs.select(
         F.col("doc_id").alias("id"), (1 + F.substring("source", 4, 9).cast("int") % 3).alias("src"), F.col("lang").alias("pool"), "text", "source",
         F.get(F.split("text", "\n"), F.lit(0)).alias("name"), F.regexp_extract("text", "(?s)^[^\n]*\n(.*)$", 1).alias("rest"),
     )
-    numbers = F.transform(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), lambda d: F.right(d, F.lit(12)).cast("long"))
+    numbers = F.transform(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), lambda d: F.regexp_replace(d, "^0+(?=.)", ""))
     return split.select(
         "id", "src", "pool", "name", "text", F.array_join(_words(F.col("name")), " ").alias("core"), F.array_join(_words(F.col("name")), "").alias("concat"),
         F.array_sort(F.array_distinct(_words(F.col("name")))).alias("nt"), F.array_sort(F.array_distinct(_words(F.col("rest")))).alias("at"),
@@ -41,7 +80,7 @@ named AS (SELECT *, ls[1] AS name, regexp_extract_all(ls[1], '[a-z]+') AS words,
 recs AS (
   SELECT id, src, pool, name, text, array_to_string(words, ' ') AS core, array_to_string(words, '') AS concat, words,
     list_sort(list_distinct(words)) AS nt, list_sort(list_distinct(rest)) AS adr,
-    list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+'), lambda d: right(d, 12)::BIGINT))) AS nu,
+    list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+'), lambda d: CASE WHEN ltrim(d, '0') = '' THEN '0' ELSE ltrim(d, '0') END))) AS nu,
     CASE WHEN contains(text, 'license') THEN source END AS state
   FROM named
 )"""
@@ -62,10 +101,10 @@ feats AS (
   SELECT DISTINCT id, src, pool, f.type AS type, f.feature AS feature FROM (
     SELECT id, src, pool, unnest(list_concat(
       list_concat(list_transform(nt, lambda x: {'type': 'ntok', 'feature': x}), list_transform(range(1, length(concat) + 1), lambda i: {'type': 'tri', 'feature': substr('^' || concat || '$', i, 3)})),
-      list_concat(list_transform(adr, lambda x: {'type': 'atok', 'feature': x}), list_transform(nu, lambda x: {'type': 'num', 'feature': x::VARCHAR})),
+      list_concat(list_transform(adr, lambda x: {'type': 'atok', 'feature': x}), list_transform(nu, lambda x: {'type': 'num', 'feature': x})),
       list_concat(
-        flatten(list_transform(nu[1:3], lambda x: list_transform(adr[1:10], lambda t: {'type': 'numx', 'feature': x::VARCHAR || '|' || t}))),
-        flatten(list_transform(nu[1:3], lambda x: list_transform(nt[1:6], lambda t: {'type': 'nnum', 'feature': x::VARCHAR || '|' || t})))),
+        flatten(list_transform(nu[1:3], lambda x: list_transform(adr[1:10], lambda t: {'type': 'numx', 'feature': x || '|' || t}))),
+        flatten(list_transform(nu[1:3], lambda x: list_transform(nt[1:6], lambda t: {'type': 'nnum', 'feature': x || '|' || t})))),
       CASE WHEN len(words) = 1 THEN [{'type': 'span', 'feature': words[1]}] ELSE
         flatten(list_transform(range(1, least(len(words), 6) + 1), lambda i: list_transform(range(i + 1, least(len(words), 6) + 1), lambda j: {'type': 'span', 'feature': array_to_string(words[i:j], '')}))) END
     )) AS f FROM recs)
@@ -103,7 +142,7 @@ pairs AS (
 
 
 def cands(spark, sf_dir: str) -> DataFrame:
-    return blocking.candidates(records(spark, sf_dir), HOW)
+    return written(spark, sf_dir, "candidates", lambda: blocking.candidates(records(spark, sf_dir), HOW))
 
 
 def pairs(spark, sf_dir: str) -> DataFrame:

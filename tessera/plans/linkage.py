@@ -12,9 +12,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import blocking, calibration, decisions, fellegi, groups, models, pairs, records
+from tessera.operators import blocking, calibration, decisions, fellegi, groups, lexicon, models, pairs, records
 from tessera.plans.settings import DEFAULTS
-from tessera.sources.tables import Artifacts, joined_lists
+from tessera.sources.tables import Artifacts, joined_lists, shared_folder
 
 HOW = blocking.Blocking(prefix_m=DEFAULTS["prefix_m"], k1=DEFAULTS["k1"], rev_k=DEFAULTS["rev_k"])
 #: Countries of the languages in the tables; others stand for themselves.
@@ -45,17 +45,16 @@ def encoded(spark, sf_dir: str) -> DataFrame:
     return records.encode(raw_pages(spark, sf_dir).drop("host"))
 
 
+def learned(raw: DataFrame, truth: DataFrame) -> dict:
+    """The lexicon of these matches; held-out left records must not be among them."""
+    side = lambda c, test: raw.filter(test).select(F.col("id").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in ("name", "address", "country")))
+    rows = truth.select("a", "b").join(side("a", "src = 1"), "a").join(side("b", "src > 1"), "b")
+    return lexicon.learn(rows, DEFAULTS["lex_min_count"], DEFAULTS["lex_pairs"])
+
+
 def store(spark) -> Artifacts:
     """A new folder for the tables of a run, in the folder that the cluster shares."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return Artifacts(spark, f"{folder}/linkage-{uuid.uuid4().hex}")
+    return Artifacts(spark, f"{shared_folder(spark)}/linkage-{uuid.uuid4().hex}")
 
 
 def features(spark, sf_dir: str) -> DataFrame:
@@ -69,9 +68,9 @@ def run(spark, sf_dir: str, folds: int = DEFAULTS["n_folds"], rounds: int = 20,
     """source1_entity_id and matched_entity_ids of every left record."""
     keep = store(spark)
     raw = raw_pages(spark, sf_dir)
-    rec = keep.save("records", records.encode(raw.drop("host")))
-    left = models.holdout(rec.filter("src = 1").select(F.col("id").alias("a"), "country"), hold, 77)
     truth = known(raw).withColumn("y", F.lit(1))
+    left = models.holdout(raw.filter("src = 1").select(F.col("id").alias("a"), records.country_key(F.col("country")).alias("country")), hold, 77)
+    rec = keep.save("records", records.encode(raw.drop("host"), learned(raw, truth.join(left.filter("NOT hold"), "a", "left_semi"))))
     cands = keep.save("candidates", blocking.candidates(rec, HOW))
 
     cheap = pairs.cheap_features(cands, rec).join(truth, ["a", "b"], "left").na.fill(0, ["y"]).join(left, "a")
