@@ -256,6 +256,43 @@ def test_folds_and_trees(spark):
     assert models.importance_ranks(fitted[0], ["f", "g"], ["f"]) == {"f": 1}
 
 
+def test_cv_options_experts_and_rebuilt_columns(spark):
+    from tessera.operators import selftrain
+    from tessera.plans import settings
+
+    rnd = random.Random(5)
+    data = [(a, 100 * a + b, int(b == 0), float(b == 0) + rnd.random() / 2, a % 7 == 0, "us" if a % 2 else "fr", 0.99 if b == 0 else 0.01, b == 0) for a in range(30) for b in range(3)]
+    df = spark.createDataFrame(data, "a long, b long, y int, f double, hold boolean, country string, q double, sel boolean").cache()
+    right = lambda rows, p: sum((r[p] > 0.5) == bool(r["y"]) for r in rows if r[p] is not None)
+    scored, last = models.cv_scores(df, ["f"], "p", folds=2, seeds=2, max_left=20, final=True, rounds=2, depth=2)
+    assert len(last) == 2 and right(scored.collect(), "p") > 80
+    own, experts = models.expert_scores(df, ["f"], "e", ["us", "xx"], folds=2, rounds=2, depth=2)
+    got = own.collect()
+    assert set(experts) == {"us"} and len(got) == 90 and all((r["e"] is None) == (r["country"] == "fr") for r in got) and right(got, "e") > 35
+    again = selftrain.leave_one_out(df, ["f"], settings.DEFAULTS, ["fr"], rounds=2, depth=2).collect()
+    assert {r["country"] for r in again} == {"fr"} and right(again, "p") > 35
+    rec = spark.createDataFrame([(a, 1, "p", ["t"], ["s"], "s", [5], f"n{a}") for a in range(30)] + [(100 * a + b, 2, "p", ["t"], ["s"], "s", [5], f"n{a}") for a in range(1, 30) for b in range(3)],
+                                "id long, src int, pool string, nt array<string>, at array<string>, a_sorted string, nu array<long>, sorted string")
+    first = df.filter("a > 0").select("a", "b", "f")
+    rebuilt = groups.rebuild_last(first, df.select("a", "b", F.col("q").alias("p1")), rec, 2)
+    assert len(rebuilt.columns) == 2 + 1 + 1 + 8 + 13 + 1 and rebuilt.count() == 87
+    with pytest.raises(ValueError):
+        groups.rebuild_last(first, df.select("a", "b", F.col("q").alias("p1")), rec, 2, ["f"])
+
+
+def test_densities_and_best_options(spark):
+    kept = spark.createDataFrame([("us", 1)] * 10 + [("us", 2)] * 45 + [("fr", 1)] * 10 + [("fr", 3)] * 40, "pool string, src int")
+    gaps = sampling.density_gaps(kept, {"us": 4.5, "fr": 4.5}, least=5)
+    assert set(gaps) == {"fr"} and gaps["fr"] == pytest.approx(1 - 4 / 4.5) and sampling.density_gaps(kept, {"us": 4.5, "fr": 4.5}) == {}
+    with pytest.raises(ValueError):
+        sampling.check_density(kept, {"fr": 4.5}, least=5)
+    scores = {"soft": {"*": 0.9, "us": 0.8, "fr": 0.95}, "hard:0.1": {"*": 0.85, "us": 0.9}}
+    assert evaluation.best_by_group(scores) == ("soft", {"fr": "soft", "us": "hard:0.1"})
+    left = spark.createDataFrame([(1, "us"), (2, "fr")], "a long, country string")
+    pair = lambda *ab: spark.createDataFrame(list(ab), "a long, b long")
+    assert evaluation.tune_exclusivity(["x", "y"], {"x": pair((1, 5)), "y": pair((2, 6), (1, 7))}.get, left, pair((1, 5), (2, 6))) == ("x", {"fr": "y", "us": "x"})
+
+
 def test_pools(spark):
     train, test = {"us": (2000, 8000), "india": (500, 2000)}, {"us": (1000, 4500), "france": (400, 1800)}
     extras = sampling.extra_pools(train, test)
