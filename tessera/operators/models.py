@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
@@ -139,7 +140,8 @@ def cv_scores(
             own = own.filter(uniform("a", seed + 7919 * (k + 1)) < min(1.0, max_left / max(n, 1)))
         return [fit_trees(own, columns, seed=seed + k + 1000 * i, **params) for i in range(seeds)]
 
-    of_fold = [fit(open_rows.filter(F.col("_fold") != k), k) for k in range(folds)]
+    with ThreadPoolExecutor(folds) as pool:  # a fit is many small jobs, which leave room for each other
+        of_fold = list(pool.map(lambda k: fit(open_rows.filter(F.col("_fold") != k), k), range(folds)))
     last = fit(open_rows, folds) if final else [m for own in of_fold for m in own]
     parts = [predict_mean(own, open_rows.filter(F.col("_fold") == k), columns, out) for k, own in enumerate(of_fold)]
     parts.append(predict_mean(last, keyed.filter("hold"), columns, out))
