@@ -125,9 +125,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Nulls, empty and long texts, ties, repeated rows, empty tables and other columns: as in dedup_lines. No row goes.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), "doc_id", "text")
     fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return dedup_lines(rows).select(*(fresh.get(c, F.col("_all").getField(c)).alias(c) for c in docs.columns))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in fresh]  # doc_id at least; the text goes once
+    rows = docs.select(F.struct(*rest).alias("_all"), "doc_id", "text")
+    return dedup_lines(rows).select(*((fresh[c] if c in fresh else F.col("_all").getField(c)).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
