@@ -28,3 +28,12 @@ def in_duckdb(pairs: list[tuple[str, str]]) -> list[float]:
 def test_every_bit():
     pairs = made()
     assert [jaro_winkler(x, y, True) for x, y in pairs] == in_duckdb(pairs)
+
+
+def test_levels_of_the_weights():
+    """The levels that fs_llr makes of it use the same bits."""
+    cuts = [0.97, 0.9, 0.8]
+    pairs = [(" ".join(sorted(set(x.split()))), " ".join(sorted(set(y.split())))) for x, y in made(3000)]
+    got, want = [jaro_winkler(x, y, True) for x, y in pairs], in_duckdb(pairs)
+    assert [[v >= c for c in cuts] for v in got] == [[v >= c for c in cuts] for v in want]
+    assert got == want
