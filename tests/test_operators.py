@@ -420,3 +420,27 @@ def test_linkage_uses_the_settings(spark, tmp_path):
     assert got.filter("a = 15 AND b < 300").count() == 40
     run = {n: p.default for n, p in inspect.signature(linkage.run).parameters.items()}
     assert (run["folds"], run["k2"]) == (settings.DEFAULTS["n_folds"], settings.DEFAULTS["k2"])
+
+
+def test_candidates_in_blocks(spark, monkeypatch):
+    """Candidates are those of the join of every pair, over many small blocks, with copies, records without features and ties;
+    no row of a pair is shuffled before it is among the best."""
+
+    from tessera.operators import scoring
+
+    monkeypatch.setattr(scoring, "CELLS", 50)
+    rng, rows = random.Random(3), []
+    words = [f"{c}{d}{e}" for c in "abc" for d in "abc" for e in "ab"]
+    for i in range(160):
+        name = rng.sample(words, rng.randint(0, 4)) if i % 8 else ["aaa", "bba"]
+        rest, nu = sorted(set(rng.choices(words, k=rng.randint(0, 6)))), sorted(set(rng.choices("123456", k=rng.randint(0, 2))))
+        rows.append((i, rng.choice([1, 2, 3]), rng.choice("xy"), " ".join(name), "".join(name), sorted(name), rest, nu))
+    rec = spark.createDataFrame(rows, "id long, src int, pool string, core string, concat string, nt array<string>, at array<string>, nu array<string>").repartition(5)
+    sizes = rec.groupBy("pool").agg(F.count_if(F.col("src") > 1).alias("n_right"))
+    for how in (blocking.Blocking(k1=3, rev_k=2, prefix_m=9), blocking.Blocking(k1=2, rev_k=1, caps=None, prefix_m=None)):
+        feats = blocking.features(rec)
+        every = blocking.similar_pairs(blocking.vectors(feats, blocking.retrieval_weights(feats, sizes, how)), how.prefix_m)
+        want = {tuple(r) for r in blocking.union_candidates(every, how.k1, how.rev_k).select("a", "b", "pool", "score", "fwd_rank").collect()}
+        got = blocking.candidates(rec, how)
+        assert {tuple(r) for r in got.select("a", "b", "pool", "score", "fwd_rank").collect()} == want and want
+        assert "sum(" not in got._jdf.queryExecution().executedPlan().toString()
