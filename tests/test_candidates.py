@@ -7,6 +7,7 @@ from tessera.plans import catalog, documents
 
 NAMES = [
     "blend_grid",
+    "calibration_knots",
     # next
 ]
 
