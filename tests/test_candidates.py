@@ -8,6 +8,7 @@ from tessera.plans import catalog, documents
 NAMES = [
     "blend_grid",
     "calibration_knots",
+    "candidate_structure",
     # next
 ]
 
