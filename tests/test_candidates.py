@@ -9,6 +9,7 @@ NAMES = [
     "blend_grid",
     "calibration_knots",
     "candidate_structure",
+    "categories",
     # next
 ]
 
