@@ -10,6 +10,7 @@ NAMES = [
     "calibration_knots",
     "candidate_structure",
     "categories",
+    "error_costs",
     # next
 ]
 
