@@ -11,6 +11,7 @@ NAMES = [
     "candidate_structure",
     "categories",
     "error_costs",
+    "error_frames",
     # next
 ]
 
