@@ -12,6 +12,7 @@ NAMES = [
     "categories",
     "error_costs",
     "error_frames",
+    "error_types",
     # next
 ]
 
