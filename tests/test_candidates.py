@@ -13,6 +13,7 @@ NAMES = [
     "error_costs",
     "error_frames",
     "error_types",
+    "exclusive_by_pool",
     # next
 ]
 
