@@ -14,6 +14,7 @@ NAMES = [
     "error_frames",
     "error_types",
     "exclusive_by_pool",
+    "expected_of_lists",
     # next
 ]
 
