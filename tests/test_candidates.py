@@ -15,6 +15,7 @@ NAMES = [
     "error_types",
     "exclusive_by_pool",
     "expected_of_lists",
+    "fs_em",
     # next
 ]
 
