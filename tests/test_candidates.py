@@ -16,6 +16,7 @@ NAMES = [
     "exclusive_by_pool",
     "expected_of_lists",
     "fs_em",
+    "fs_mu_table",
     # next
 ]
 
