@@ -17,6 +17,7 @@ NAMES = [
     "expected_of_lists",
     "fs_em",
     "fs_mu_table",
+    "hard_exclusive",
     # next
 ]
 
