@@ -18,6 +18,7 @@ NAMES = [
     "fs_em",
     "fs_mu_table",
     "hard_exclusive",
+    "has_match_features",
     # next
 ]
 
