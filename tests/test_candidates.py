@@ -19,6 +19,7 @@ NAMES = [
     "fs_mu_table",
     "hard_exclusive",
     "has_match_features",
+    "idf_cosine",
     # next
 ]
 
