@@ -20,6 +20,7 @@ NAMES = [
     "hard_exclusive",
     "has_match_features",
     "idf_cosine",
+    "jaccard_tokens",
     # next
 ]
 
