@@ -21,6 +21,7 @@ NAMES = [
     "has_match_features",
     "idf_cosine",
     "jaccard_tokens",
+    "ks_shift",
     # next
 ]
 
