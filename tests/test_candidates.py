@@ -22,6 +22,7 @@ NAMES = [
     "idf_cosine",
     "jaccard_tokens",
     "ks_shift",
+    "lev_ratio",
     # next
 ]
 
