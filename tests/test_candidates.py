@@ -23,6 +23,7 @@ NAMES = [
     "jaccard_tokens",
     "ks_shift",
     "lev_ratio",
+    "macro_f05",
     # next
 ]
 
