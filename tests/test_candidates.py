@@ -24,6 +24,7 @@ NAMES = [
     "ks_shift",
     "lev_ratio",
     "macro_f05",
+    "num_stats",
     # next
 ]
 
