@@ -25,6 +25,7 @@ NAMES = [
     "lev_ratio",
     "macro_f05",
     "num_stats",
+    "pair_context",
     # next
 ]
 
