@@ -26,6 +26,7 @@ NAMES = [
     "macro_f05",
     "num_stats",
     "pair_context",
+    "prefix_ratio",
     # next
 ]
 
