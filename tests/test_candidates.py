@@ -27,6 +27,7 @@ NAMES = [
     "num_stats",
     "pair_context",
     "prefix_ratio",
+    "pseudo_labels",
     # next
 ]
 
