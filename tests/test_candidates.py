@@ -28,6 +28,7 @@ NAMES = [
     "pair_context",
     "prefix_ratio",
     "pseudo_labels",
+    "recall_rollup",
     # next
 ]
 
