@@ -29,7 +29,7 @@ NAMES = [
     "prefix_ratio",
     "pseudo_labels",
     "recall_rollup",
-    # next
+    "selected_lists",
 ]
 
 
