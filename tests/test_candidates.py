@@ -47,3 +47,9 @@ def no_pair_rows():
 @pytest.mark.parametrize("name", NAMES)
 def test_in_blocks(spark, name):
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_lev_ratio_dealt_by_number(spark):
+    plan = catalog.QUERIES["lev_ratio"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert plan.index("levenshtein") < plan.index("RepartitionByExpression")  # compared after they were dealt out
