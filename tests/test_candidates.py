@@ -99,3 +99,8 @@ def test_fs_mu_table_in_parts(spark, one_line, monkeypatch):
             want += [(r["a"], r["b"], jaro_winkler(x[0], y[0], floored=True), int(x[1] == y[1])) for y in map(sides, texts[r["b"]])]
     assert any(r[1] == 89 for r in want)
     assert sorted((r["a"], r["b"], r["jw_sorted"], r["num_shared"]) for r in rows) == sorted(want)
+
+
+def test_fs_em_in_parts(spark, one_line, monkeypatch):
+    got, rows = compared_in_parts(spark, one_line, monkeypatch, "fs_em")
+    assert sorted((r["a"], r["b"]) for r in got) == sorted((r["a"], r["b"]) for r in rows)
